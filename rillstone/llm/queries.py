@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillstone.llm.cooccur import associations, latest
 from rillstone.llm.frequent import frequent_elements, frequent_values
+from rillstone.llm.neighbours import exact_neighbours, neighbours, recall
 from rillstone.llm.topn import GroupIndex, expand_requests
 from rillstone.llm.winnow import overlaps
 
@@ -62,6 +63,25 @@ def p4_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _associated(spark, sf_dir).select("kind", F.col("a").alias("a_id"), F.col("b").alias("b_id"), "n_ab", F.round("lift", 6).alias("lift"))
 
 
+# ---- p5: most similar vectors
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours(table(spark, sf_dir, "user_embeds"), "user_id", "user_embed", 48, 5, 0.9, newest="trained_at")
+    return near.select(F.least("id", "near").cast("int").alias("user_a"), F.greatest("id", "near").cast("int").alias("user_b")).distinct()
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall against brute force: users divisible by 20 against all, five nearest of any cosine and of at least 0.9."""
+    rows = table(spark, sf_dir, "user_embeds")
+    out = None
+    for name, floor in (("any", -2.0), ("0.9", 0.9)):
+        exact = exact_neighbours(rows, "user_id", "user_embed", 48, 5, floor, every=20, newest="trained_at")
+        part = recall(neighbours(rows, "user_id", "user_embed", 48, 5, floor, newest="trained_at"), exact).withColumn("floor", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- p6: same or near-same records across splits
 
 #: Characters of the k-gram and hashes in a window: together the 32 characters of user and item.
@@ -123,7 +143,7 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequent(spark, sf_dir).select("field_name", "item", "n")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p6_found, p6_report, p7_found, p7_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_report, p7_found, p7_counts)}
 
 _ASK = r"""
 with ask as (
