@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rillstone.llm.cooccur import associations, latest
 from rillstone.llm.frequent import frequent_elements, frequent_values
+from rillstone.llm.mixing import mix
 from rillstone.llm.neighbours import exact_neighbours, neighbours, recall
+from rillstone.llm.suffixes import leaks, without_leaks
 from rillstone.llm.topn import GroupIndex, expand_requests
 from rillstone.llm.winnow import overlaps
 
@@ -143,7 +145,41 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frequent(spark, sf_dir).select("field_name", "item", "n")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_report, p7_found, p7_counts)}
+# ---- p8: evaluation texts in the corpus
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_passages"), "passage_id", "text", 20)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("passage_id", "doc_id")
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked passages with suite, longest match and its places."""
+    suites = table(spark, sf_dir, "eval_passages").select("passage_id", "suite")
+    return _leaks(spark, sf_dir).join(suites, "passage_id")
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage, by source."""
+    left = without_leaks(table(spark, sf_dir, "documents"), "doc_id", _leaks(spark, sf_dir))
+    return left.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# ---- p9: a mix of sources
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_report, p7_found, p7_counts, p8_found, p8_matches, p8_clean, p9_mix, p9_shares)}
 
 _ASK = r"""
 with ask as (
