@@ -9,6 +9,7 @@ from rillstone.llm.cooccur import associations, latest
 from rillstone.llm.frequent import frequent_elements, frequent_values
 from rillstone.llm.mixing import mix
 from rillstone.llm.neighbours import exact_neighbours, neighbours, recall
+from rillstone.llm.subjects import document_subjects
 from rillstone.llm.suffixes import leaks, without_leaks
 from rillstone.llm.topn import GroupIndex, expand_requests
 from rillstone.llm.winnow import overlaps
@@ -179,7 +180,24 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_report, p7_found, p7_counts, p8_found, p8_matches, p8_clean, p9_mix, p9_shares)}
+# ---- p10: subject areas
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, areas, labels = (table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_labels"))
+    return document_subjects(docs, "doc_id", "text", "lang", areas, "subject", labels, "doc_id", "subject")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of each subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_about").alias("n_sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_report, p7_found, p7_counts, p8_found, p8_matches, p8_clean, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _ASK = r"""
 with ask as (
