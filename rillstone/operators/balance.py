@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillstone.session import parallelism
+from rillstone.session import fresh, parallelism
 
 #: Keys with at least this share of a task's capacity are placed one by one.
 PLACED_SHARE = 0.125
@@ -32,9 +32,9 @@ class LoadPlan:
     total: float
     placed: dict
 
-    def frame(self, spark, key_type: T.DataType) -> DataFrame:
-        """The plan as rows (``_key``, ``_bins``); at most 9 x bins entries."""
-        schema = T.StructType([T.StructField("_key", key_type), T.StructField("_bins", T.ArrayType(T.IntegerType()))])
+    def frame(self, spark, key_type: T.DataType, key: str, bins: str) -> DataFrame:
+        """The plan as rows (``key``, ``bins``); at most 9 x bins entries."""
+        schema = T.StructType([T.StructField(key, key_type), T.StructField(bins, T.ArrayType(T.IntegerType()))])
         return spark.createDataFrame([(k, list(v)) for k, v in self.placed.items()], schema)
 
 
@@ -72,26 +72,25 @@ def plan_loads(df: DataFrame, key: str, bins: int | None = None, fraction: float
     return pack([(r["_key"], float(r["_n"])) for r in top if r["_n"] >= least], total, bins)
 
 
+def _placed(df: DataFrame, key: str, plan: LoadPlan) -> tuple[DataFrame, str, str]:
+    """The rows with the plan's bins of their key (null for keys that are hashed)."""
+    k, bins = fresh(df.columns, "_key", "_bins")
+    frame = F.broadcast(plan.frame(df.sparkSession, df.schema[key].dataType, k, bins))
+    return df.join(frame, F.col(key) == F.col(k), "left"), k, bins
+
+
 def spread(df: DataFrame, key: str, plan: LoadPlan, by: Column, out: str = "_bin") -> DataFrame:
     """Give each row its bin: shard ``by`` for split keys, the hash of the key for others."""
-    placed = F.broadcast(plan.frame(df.sparkSession, df.schema[key].dataType))
-    at = F.pmod(by, F.size("_bins").cast("long")).cast("int")
-    return (
-        df.join(placed, F.col(key) == F.col("_key"), "left")
-        .withColumn(out, F.coalesce(F.get("_bins", at), F.pmod(F.xxhash64(key), F.lit(plan.bins)).cast("int")))
-        .drop("_key", "_bins")
-    )
+    rows, k, bins = _placed(df, key, plan)
+    at = F.pmod(by, F.size(bins).cast("long")).cast("int")
+    return rows.withColumn(out, F.coalesce(F.get(bins, at), F.pmod(F.xxhash64(key), F.lit(plan.bins)).cast("int"))).drop(k, bins)
 
 
 def replicate(df: DataFrame, key: str, plan: LoadPlan, out: str = "_bin") -> DataFrame:
     """The matching side: one copy for each bin that holds a shard of the row's key."""
-    placed = F.broadcast(plan.frame(df.sparkSession, df.schema[key].dataType))
+    rows, k, bins = _placed(df, key, plan)
     own = F.array(F.pmod(F.xxhash64(key), F.lit(plan.bins)).cast("int"))
-    return (
-        df.join(placed, F.col(key) == F.col("_key"), "left")
-        .withColumn(out, F.explode(F.array_distinct(F.coalesce("_bins", own))))
-        .drop("_key", "_bins")
-    )
+    return rows.withColumn(out, F.explode(F.array_distinct(F.coalesce(bins, own)))).drop(k, bins)
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
@@ -110,10 +109,11 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, how: st
     if clash and how in ("inner", "left"):
         raise ValueError(f"both sides have {sorted(clash)}")
     plan = plan or plan_loads(left, key)
-    by = F.xxhash64(*[F.col(c) for c in _hashable(left)])
-    a = spread(left, key, plan, by).repartitionById(plan.bins, F.col("_bin"))
-    b = replicate(right.where(F.col(key).isNotNull()), key, plan).repartitionById(plan.bins, F.col("_bin"))
-    return a.join(b, ["_bin", key], how).drop("_bin")
+    by = F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(left)])
+    (at,) = fresh([*left.columns, *right.columns], "_bin")
+    a = spread(left, key, plan, by, at).repartitionById(plan.bins, F.col(at))
+    b = replicate(right.where(F.col(key).isNotNull()), key, plan, at).repartitionById(plan.bins, F.col(at))
+    return a.join(b, [at, key], how).drop(at)
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -132,6 +132,8 @@ def key_stats(df: DataFrame, key: str, member: str | None = None, value: str | N
     none has 0 and null). Repeated rows all count. An empty table gives none.
     ``member`` and ``value`` may be left out, their results are then null.
     """
+    if key in ("n_rows", "n_members", "mean_value", "_bin", "_member", "_value"):
+        raise ValueError(f"rename the key column {key}")
     plan = plan or plan_loads(df, key)
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).alias(key),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillstone.session import materialize, parallelism
+from rillstone.session import fresh, materialize, parallelism
 
 
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
@@ -17,12 +17,13 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank") ->
     each. ``order`` should be unique, else tied rows are in any order.
     """
     parts = parallelism(df.sparkSession)
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    placed = materialize(placed, "rank").withColumn("_place_part", F.shiftright("_place", 33))
-    starts = placed.groupBy("_place_part").agg(F.min("_place").alias("_place_start"), F.count(F.lit(1)).alias("_place_len"))
-    before = F.coalesce(F.sum("_place_len").over(Window.orderBy("_place_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.withColumn("_place_before", before).select("_place_part", "_place_start", "_place_before")  # a row for each partition
-    return placed.join(F.broadcast(starts), "_place_part").withColumn(name, F.col("_place") - F.col("_place_start") + F.col("_place_before")).drop("_place", "_place_part", "_place_start", "_place_before")
+    at, part, start, length, before = fresh([*df.columns, name], "_place", "_part", "_start", "_len", "_before")
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = materialize(placed, "rank").withColumn(part, F.shiftright(at, 33))
+    starts = placed.groupBy(part).agg(F.min(at).alias(start), F.count(F.lit(1)).alias(length))
+    earlier = F.coalesce(F.sum(length).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.withColumn(before, earlier).select(part, start, before)  # a row for each partition
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(at) - F.col(start) + F.col(before)).drop(at, part, start, before)
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -78,6 +78,17 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """Column names that none of ``names`` has, whatever the letter case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"{w}_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def jvm_fs(spark: SparkSession, path: str):
     """Hadoop file system and path object of a path."""
     jvm = spark.sparkContext._jvm
