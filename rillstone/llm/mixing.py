@@ -146,8 +146,9 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeat", F.lit(1))).alias("most")
     ).collect()
     shares, repeats = {r["source"]: float(r["share"]) for r in goal}, {r["source"]: int(r["most"]) for r in goal}
-    rows = docs.where(F.col(doc_id).isNotNull()).withColumn("_source", canonical_source(F.col(source))).where(F.col("_source").isin(list(shares)))
-    sized = materialize(token_counts(rows, doc_id, text, [F.col("_source").alias("source")], tokenizer), "mix-tokens")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), canonical_source(F.col(source)).alias("source"), F.col(text).alias("text"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("source").isin(list(shares)))
+    sized = materialize(token_counts(rows, "doc_id", "text", [F.col("source")], tokenizer), "mix-tokens")
     totals = {r["source"]: (r["t"], r["n"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}  # a row per target
     tokens = {s: t for s, (t, _) in totals.items()}
     wanted = allot(tokens, shares, repeats, float(total_tokens if total_tokens is not None else sum(tokens.values())))

@@ -37,7 +37,7 @@ DB_BLOCK, QUERY_BLOCK = 4_096, 16_384
 SUB = 2
 CENTRES = 16
 #: Best codes of a cell that are reranked for each query.
-RERANK = 40
+RERANK = 128
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def _spherical_means(x: np.ndarray, n: int, rounds: int, rng: np.random.Generato
     return c
 
 
-def fit(x: np.ndarray, n_cells: int, threshold: float = 0.2, rounds: int = 8, seed: int = 5) -> Quantiser:
+def fit(x: np.ndarray, n_cells: int, threshold: float = 0.3, rounds: int = 8, seed: int = 5) -> Quantiser:
     """Fit cells and codebooks on unit vectors (float32)."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]

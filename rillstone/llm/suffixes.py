@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.llm.words import words
+from rillstone.session import fresh
 
 #: Words in one shard, about; a longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
@@ -167,5 +168,6 @@ def leaks(docs: DataFrame, doc_id: str, text: str, passages: DataFrame, passage_
 
 def without_leaks(docs: DataFrame, doc_id: str, found: DataFrame) -> DataFrame:
     """The corpus without the documents that hold a passage."""
-    hit = found.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(doc_id).cast("long") == F.col("_hit"), "left_anti")
+    (name,) = fresh(docs.columns, "_hit")
+    hit = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col(doc_id).cast("long") == F.col(name), "left_anti")
