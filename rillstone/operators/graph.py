@@ -110,6 +110,35 @@ def lightgcn(edges: DataFrame, vectors: DataFrame, id: str, vec: str, dim: int,
     return total.select("node", F.transform("vec", lambda x: x / (layers + 1)).alias("vec"))
 
 
+def ngcf(edges: DataFrame, vectors: DataFrame, id: str, vec: str, dim: int, weights: list[tuple]) -> DataFrame:
+    """Layers leaky_relu(side W1 + (side * ego) W2) at length 1, all layers one after another: ``node, vec``.
+
+    ``weights`` has a pair of (dim, dim) matrices for each layer; side is the
+    row-normalised sum over neighbours and the node itself.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    w = normalized_edges(edges, "row")
+    layer = vectors.select(F.col(id).alias("node"), F.col(vec).cast("array<double>").alias("vec"))
+    kind = layer.schema["node"].dataType.simpleString()
+    total = layer
+    for w1, w2 in weights:
+
+        def step(batches, w1=np.asarray(w1), w2=np.asarray(w2)):
+            for b in batches:
+                ego, side = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in (1, 2))
+                y = side @ w1 + (side * ego) @ w2
+                y = np.where(y > 0, y, 0.2 * y)
+                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(y), pa.list_(pa.float64()))], names=["node", "vec"])
+
+        side = aggregate_neighbors(w, layer, "node", "vec", dim).withColumnRenamed("vec", "side")
+        layer = materialize(layer.join(side, "node").mapInArrow(step, f"node {kind}, vec array<double>"), "ngcf")
+        total = total.join(layer.withColumnRenamed("vec", "_n"), "node").select("node", F.concat("vec", "_n").alias("vec"))
+    return total
+
+
 def importance_pairs(starts: DataFrame, node: str, item_users: DataFrame, user_items: DataFrame, n_walks: int, length: int, termination: float = 0.5, seed: int = 42) -> DataFrame:
     """Walk pairs from each start in which a walk ends after a step with the given probability."""
     pairs = bipartite_walk_pairs(starts, node, item_users, user_items, n_walks, length, focus_start=True, seed=seed)
