@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rillstone.operators.ordering import top_k
 from rillstone.session import materialize
@@ -35,23 +34,25 @@ def similarities(df: DataFrame, entity: str, key: str, value: str, kind: str = "
         raise ValueError(f"unknown similarity {kind!r}")
     rows = df.select(entity, key, F.col(value).cast("double").alias("_v"))
     if kind == "pearson":
-        rows = rows.withColumn("_v", F.col("_v") - F.avg("_v").over(Window.partitionBy(entity)))
+        means = rows.groupBy(entity).agg(F.avg("_v").alias("_m"))
+        rows = rows.join(means, entity).select(entity, key, (F.col("_v") - F.col("_m")).alias("_v"))
+    # what the sizes are needed for is done on the rows, so the many pairs are joined with nothing
     size = F.count(F.lit(1)).cast("double") if kind == "jaccard" else F.sqrt(F.sum(F.col("_v") * F.col("_v")))
-    norms = rows.groupBy(entity).agg(size.alias("_n"))
-    pairs = pair_sums(rows, entity, key, "_v").where(F.col("common") >= min_common)
-    out = pairs.join(norms.select(F.col(entity).alias("a"), F.col("_n").alias("_na")), "a").join(norms.select(F.col(entity).alias("b"), F.col("_n").alias("_nb")), "b")
+    rows = rows.join(rows.groupBy(entity).agg(size.alias("_n")), entity)
     if kind == "jaccard":
-        sim = F.col("common") / (F.col("_na") + F.col("_nb") - F.col("common"))
-    else:
-        sim = F.coalesce(F.try_divide(F.col("dot"), F.col("_na") * F.col("_nb")), F.lit(0.0))
-    return out.select("a", "b", sim.alias("sim"), "common")
+        left = rows.select(F.col(key).alias("_k"), F.col(entity).alias("a"), F.col("_n").alias("_na"))
+        right = rows.select(F.col(key).alias("_k"), F.col(entity).alias("b"), F.col("_n").alias("_nb"))
+        pairs = left.join(right, "_k").where("a < b").groupBy("a", "b").agg(F.max(F.col("_na") + F.col("_nb")).alias("_n"), F.count(F.lit(1)).alias("common"))
+        return pairs.where(F.col("common") >= min_common).select("a", "b", (F.col("common") / (F.col("_n") - F.col("common"))).alias("sim"), "common")
+    unit = rows.select(entity, key, F.coalesce(F.try_divide("_v", "_n"), F.lit(0.0)).alias("_v"))
+    return pair_sums(unit, entity, key, "_v").where(F.col("common") >= min_common).select("a", "b", F.col("dot").alias("sim"), "common")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """The symmetric closure: ``entity, neighbor`` and the other columns."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    a = pairs.select(F.col("a").alias("entity"), F.col("b").alias("neighbor"), *rest)
-    return a.unionByName(pairs.select(F.col("b").alias("entity"), F.col("a").alias("neighbor"), *rest))
+    ways = F.array(F.struct(F.col("a").alias("entity"), F.col("b").alias("neighbor")), F.struct(F.col("b").alias("entity"), F.col("a").alias("neighbor")))
+    return pairs.select(F.explode(ways).alias("_w"), *rest).select("_w.*", *rest)  # one pass over the pairs
 
 
 def neighbors(pairs: DataFrame, k: int, digits: int = 9) -> DataFrame:
