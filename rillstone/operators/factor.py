@@ -37,7 +37,7 @@ def _solve(gram: np.ndarray, reg: float, alpha: float, implicit: bool):
         else:
             left, right = y.T @ y + eye, y.T @ r
         x = np.linalg.solve(left, right)
-        return pa.table({"id": [key[0].as_py()], "f": [x.tolist()]})
+        return pa.table({"id": pa.array([key[0].as_py()], key[0].type), "f": [x.tolist()]})
 
     return run
 
