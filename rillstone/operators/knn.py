@@ -97,7 +97,9 @@ class IvfIndex:
 
         self.spark, self.nlist = df.sparkSession, nlist
         rows = df.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-        sample = rows.orderBy(F.xxhash64("id")).limit(fit_rows).select(array_to_vector("v").alias("features"))
+        least = min(1.0, 2 * fit_rows / max(rows.count(), 1))
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * least))
+        sample = some.orderBy(F.xxhash64("id")).limit(fit_rows).select(array_to_vector("v").alias("features"))
         centers = np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())  # nlist x dim
         self.centers = self.spark.sparkContext.broadcast(centers)
         self.rows = materialize(rows.mapInArrow(_cells(self.centers, 1, "inner"), f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, cell int"), "ivf")
