@@ -293,7 +293,9 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     n = index.count()
     if not n:
         return spark.createDataFrame([], "id long, near long, cos double")
-    sample = index.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow()
+    # the hash bound leaves about twice the sample, however many rows there are
+    some = index.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * FIT_ROWS / n)))
+    sample = some.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow()
     x = _unit(_matrix(sample.column(0), np.float32)).astype(np.float32)
     q = fit(x, cells or max(1, min(MAX_CELLS, int(n**0.5))))
     probes = probes or choose_probes(q, x, k, floor, 0.99 if floor > -1 else 0.96)

@@ -132,7 +132,11 @@ def _sample(docs: DataFrame, doc_id: str, labels: DataFrame, label_doc: str, lab
     known = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s.strip().lower()), F.lit(i))])
     rows = labels.select(F.col(label_doc).cast("long").alias("doc_id"), F.try_element_at(known, F.lower(F.trim(F.col(label)))).alias("s")).dropna()
     rows = rows.join(docs.select(F.col(doc_id).cast("long").alias("doc_id")), "doc_id", "left_semi")
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
+    rows = materialize(rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("labels")), "subjects-labels")
+    # the hash bound leaves about twice the sample, however many documents are labelled
+    least = min(1.0, 2 * FIT_DOCS / max(rows.count(), 1))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * least))
+    return some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
 
 
 def _weights(docs: DataFrame, sample: DataFrame, n_subjects: int) -> tuple[list[str], np.ndarray]:
