@@ -273,7 +273,35 @@ _WORDS = """
 w as (select p_partkey, p_brand, string_split(lower(p_name), ' ') as x from part),
 m as (select p_partkey, p_brand, coalesce(x[1], 'missing') as words_1, coalesce(x[2], 'missing') as words_2, coalesce(x[3], 'missing') as words_3 from w)"""
 
+
+
+def _mix(*parts: str) -> str:
+    """Columns whose last, ``h``, is the integer mixing of ``parts``."""
+    last, cols = "12345", []
+    for n, x in enumerate(parts):
+        out = "h" if n == len(parts) - 1 else f"m{n}"
+        cols.append(f"({last} * 48271 + (({x}) % 2147483647) * 16807 + 12345) % 2147483647 as m{n}_0, (m{n}_0 * 48271 + (m{n}_0 >> 11)) % 2147483647 as {out}")
+        last = out
+    return ", ".join(cols)
+
+
+_RANKED = SQL_I + f""",
+    r as (select *, row_number() over (order by {SQL_ORDER}) - 1 as "row" from i0), n as (select max(item) + 1 as n from r)"""
+
 ORACLE = {
+    "neg_random": f"""with r as (select l_orderkey * 100 + l_linenumber as "row", min(l_partkey) as item from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey, l_linenumber),
+        n as (select max(item) + 1 as n from r), c as (select "row", item, k, n, {_mix('"row"', 'k', '42')} from r cross join n cross join (select unnest(range(30)) as k)),
+        g as (select "row", h % n as negative, min(k) as k from c where h % n <> item group by "row", h % n)
+        select "row", negative from g qualify row_number() over (partition by "row" order by k) <= 3""",
+    "neg_unconsumed": f"""with {_RANKED}, c as (select "row", "user", item, k, n, {_mix('"row"', 'k', '42')} from r cross join n cross join (select unnest(range(20)) as k)),
+        g as (select "row", "user", h % n as negative, min(k) as k from c where h % n <> item group by "row", "user", h % n),
+        e as (select distinct "user", item from i0)
+        select "row", g."user", negative from g left join e on e."user" = g."user" and e.item = negative
+        qualify row_number() over (partition by "row" order by e.item is not null, k) <= 2""",
+    "neg_out_batch": f"""with {_RANKED}, c as (select "row", item, k, n, {_mix('"row"', 'k', '42')} from r cross join n cross join (select unnest(range(16)) as k)),
+        e as (select distinct "row" // 256 as b, item from r)
+        select "row", h % n as negative from c left join e on e.b = "row" // 256 and e.item = h % n where h % n <> c.item
+        qualify row_number() over (partition by "row" order by e.item is not null, k) <= 1""",
     "split_ratio_chrono": f"with {SQL_SPLIT} select {_R}, fold from s",
     "split_multi_ratio": f"""with {SQL_I},
         s0 as (select *, row_number() over (partition by "user" order by {SQL_ORDER}) as at_, count(*) over (partition by "user") as n from i0)

@@ -367,7 +367,23 @@ def _knn(kind: str) -> str:
         k as (select a.vec_id as q, b.vec_id as i, round({s}, 9) as score from v a cross join v b)"""
 
 
+_TRAIN = SQL_SPLIT + """,
+    d as (select "user", item, label from (select *, row_number() over (partition by "user", item order by time desc, k1 desc, k2 desc, k3 desc, k4 desc) as rn
+          from s where fold = 0) where rn = 1)"""
+
 ORACLE = {
+    "flagship": f"""with {_sims('item', 'user', src=_TRAIN)}{_TOP9}{_ITEM_SCORES.format(v='label')},
+        held as (select distinct "user", item from s where fold = 1 and "user" in (select "user" from d) and item in (select item from d)),
+        rec as (select sc."user", sc.item, row_number() over (partition by sc."user" order by round(sc.score, 9) desc, sc.item) as rank
+                from sc left join d on d."user" = sc."user" and d.item = sc.item where d.item is null and sc."user" in (select "user" from held) qualify rank <= 10),
+        size as (select "user", count(*) as n from held group by "user"),
+        h as (select rec."user", rank, (held.item is not null)::int as hit from rec left join held on held."user" = rec."user" and held.item = rec.item),
+        h2 as (select *, sum(hit) over (partition by "user" order by rank) as upto from h),
+        m as (select sum(hit) / 10.0::double as precision, sum(hit)::double / max(n) as recall,
+                coalesce(sum(case when hit = 1 then upto::double / rank end) / nullif(sum(hit), 0), 0) as map,
+                coalesce(sum(case when hit = 1 then 1 / log2(rank + 1) end) / nullif(sum(case when hit = 1 then 1 / log2(upto + 1) end), 0), 0) as ndcg
+              from h2 join size using ("user") group by h2."user")
+        select round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(map), 6) as map, round(avg(ndcg), 6) as ndcg from m""",
     "item_cosine_topk": f"with {_sims('item', 'user')}{_TOP} {_NEAR}",
     "user_cosine_topk": f"with {_sims('user', 'item')}{_TOP} {_NEAR}",
     "item_pearson": f"with {_sims('item', 'user', least=2, kind='pearson')}{_TOP} {_NEAR}",
@@ -376,9 +392,7 @@ ORACLE = {
     "item_matrix_density": f"with {_sims('item', 'user')} select round(200.0::double * (select count(*) from p) / pow((select count(distinct item) from d), 2), 6) as density",
     "itemcf_recommend": f"with {_sims('item', 'user', kind='jaccard')}{_TOP9}{_ITEM_SCORES.format(v='label')}{_REC_OUT} where rank <= 10",
     "usercf_recommend": f"with {_sims('user', 'item', kind='jaccard')}{_TOP9}{_USER_SCORES.format(v='label')}{_REC_OUT} where rank <= 10",
-    "itemcf_predict": f"""with {_sims('item', 'user', kind='jaccard', rows='d', src=SQL_SPLIT + ''',
-          d as (select "user", item, label from (select *, row_number() over (partition by "user", item order by time desc, k1 desc, k2 desc, k3 desc, k4 desc) as rn
-                from s where fold = 0) where rn = 1)''')},
+    "itemcf_predict": f"""with {_sims('item', 'user', kind='jaccard', rows='d', src=_TRAIN)},
         q as (select distinct "user", item from s where fold = 1), t as (select a as entity, b as neighbor, sim from p union all select b, a, sim from p),
         h as (select q."user", q.item, sim, label, row_number() over (partition by q."user", q.item order by sim desc, neighbor) as rn
               from q join t on t.entity = q.item join d on d."user" = q."user" and d.item = t.neighbor where sim > 0),
