@@ -225,6 +225,16 @@ f as (select p.*, ca.n_x as n_a, cb.n_x as n_b, n.n from p join n using (kind)
       join c ca on ca.kind = p.kind and ca.x = a_id join c cb on cb.kind = p.kind and cb.x = b_id)
 """
 
+_VECTORS = """
+with u as (select user_id, user_embed, trained_at, list_transform(user_embed, lambda x: x::double) as v from user_embeds
+  where user_id is not null and len(user_embed) = 48 and len(list_filter(user_embed, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(user_embed, lambda x: x <> 0)) > 0),
+l as (select user_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from u qualify row_number() over (partition by user_id order by trained_at desc nulls last) = 1),
+c as (select a.user_id as a, b.user_id as b, list_dot_product(a.v, b.v) / (a.n * b.n) as cos from l a join l b on a.user_id <> b.user_id),
+t as (select * from c where cos >= 0.9 qualify row_number() over (partition by a order by cos desc, b) <= 5)
+select distinct least(a, b) as user_a, greatest(a, b) as user_b from t
+"""
+
 _SPLITS = """
 with r as (select row_id, user_id, item, label, feed, lower(trim(split_name)) as split from split_ratings where label is not null),
 p as (select a.row_id as t, b.row_id as h, b.split, b.feed, a.label = b.label as same
@@ -248,6 +258,7 @@ ORACLE = {
     "p4_found": _LISTS + "select kind, a_id, b_id from f where n_ab * n >= 6 * n_a * n_b",
     "p4_lift": _LISTS + """select kind, a_id, b_id, n_ab, round(n_ab::double * n / (n_a * n_b), 6) as lift
         from f where n_ab * n >= 6 * n_a * n_b""",
+    "p5_found": _VECTORS,
     "p6_found": _SPLITS + "select least(t, h) as row_a, greatest(t, h) as row_b from p",
     "p6_report": _SPLITS + """select split, feed, count(*) as n_rows, cast(sum(n) as bigint) as n_pairs, cast(sum(same) as bigint) as n_same
         from (select h, split, feed, count(*) as n, max(same::int) as same from p group by h, split, feed) group by split, feed""",
