@@ -99,13 +99,13 @@ def user_cf_scores(users: DataFrame, history: DataFrame, neighbors_: DataFrame,
     return rows.groupBy(F.col("_u").alias(user), item).agg(F.sum(value).alias("score"))
 
 
-def update_cosine(old_pairs: DataFrame, old_norms: DataFrame, old_rows: DataFrame, new_rows: DataFrame, entity: str, key: str, value: str, refresh: bool = True) -> tuple[DataFrame, DataFrame]:
+def update_cosine(old_pairs: DataFrame, old_norms: DataFrame, old_rows: DataFrame, new_rows: DataFrame, entity: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """Increment of cosine state by new (entity, key, value) rows with keys not combined before.
 
     State: pair sums (``a, b, dot, common``) and squared norms (``entity, sq``).
-    Pairs among new rows and of new with old rows of the same key are added.
-    Returns the new state; ``refresh`` is how similarities read from it see
-    changed norms of untouched pairs (they always do here).
+    Pairs among new rows and of new with old rows of the same key are added, so
+    the new state is that of all rows; similarities read from it see the changed
+    norms of untouched pairs too.
     """
     fresh = new_rows.groupBy(entity).agg(F.sum(F.col(value).cast("double") * F.col(value)).alias("sq"))
     norms = old_norms.unionByName(fresh.withColumnRenamed(entity, "entity")).groupBy("entity").agg(F.sum("sq").alias("sq"))
