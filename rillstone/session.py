@@ -44,13 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="rillstone-")
         atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", _own_dirs[app])
+        spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/rillstone/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the application's own part of it."""
+    return f"{shared_dir(spark)}/rillstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames that read it are then void."""
+    fs, p = jvm_fs(spark, f"{shared_dir(spark)}/rillstone/{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
