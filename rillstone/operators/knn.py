@@ -14,6 +14,8 @@ from rillstone.session import materialize
 
 #: Vectors in a block of one side of a blocked product.
 BLOCK = 8_192
+#: Cells of an inverted file, at most.
+MAX_CELLS = 1_024
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -89,23 +91,43 @@ def search_knn(df: DataFrame, ids: list, id: str, vec: str, k: int, kind: str =
 
 
 class IvfIndex:
-    """Inverted file over an embedding table: k-means cells, probes, exact scores within cells."""
+    """Inverted file over an embedding table: k-means cells, probes, exact scores within cells.
 
-    def __init__(self, df: DataFrame, id: str, vec: str, nlist: int = 80, seed: int = 1, fit_rows: int = 100_000):
+    By default there are as many cells as the root of the number of rows
+    (``MAX_CELLS`` at most), and as many are probed as measured recall asks for.
+    """
+
+    def __init__(self, df: DataFrame, id: str, vec: str, nlist: int | None = None, seed: int = 1, fit_rows: int = 100_000):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.spark, self.nlist = df.sparkSession, nlist
         rows = df.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-        least = min(1.0, 2 * fit_rows / max(rows.count(), 1))
+        n = rows.count()
+        self.spark, self.nlist = df.sparkSession, nlist or max(2, min(MAX_CELLS, int(n**0.5)))
+        least = min(1.0, 2 * fit_rows / max(n, 1))
         some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * least))
         sample = some.orderBy(F.xxhash64("id")).limit(fit_rows).select(array_to_vector("v").alias("features"))
-        centers = np.array(KMeans(k=nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())  # nlist x dim
+        centers = np.array(KMeans(k=self.nlist, seed=seed, maxIter=10).fit(sample).clusterCenters())  # nlist x dim
         self.centers = self.spark.sparkContext.broadcast(centers)
         self.rows = materialize(rows.mapInArrow(_cells(self.centers, 1, "inner"), f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, cell int"), "ivf")
 
-    def search(self, queries: DataFrame, id: str, vec: str, k: int, probes: int = 10) -> DataFrame:
-        """``q, i, score, rank`` by inner product over the probed cells."""
+    def choose_probes(self, queries: DataFrame, id: str, vec: str, k: int, target: float = 0.95, ask_rows: int = 1_000) -> int:
+        """Cells to probe so that ``target`` of the true neighbours of at most ``ask_rows`` queries, among all rows, lie in a probed cell."""
+        q = queries.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+        least = min(1.0, 2 * ask_rows / max(q.count(), 1))
+        some = q.where(F.pmod(F.xxhash64("id", F.lit("ask")), F.lit(1 << 40)) < int((1 << 40) * least))
+        some = materialize(some.orderBy(F.xxhash64("id", F.lit("ask")), "id").limit(ask_rows), "ivf-ask")
+        exact = blocked_top_k(some, self.rows, "id", "id", "v", k, "inner-product").select("q", F.col("i").alias("id"))
+        kind = q.schema["id"].dataType.simpleString()
+        cells = some.mapInArrow(_cells(self.centers, self.nlist, "inner", True), f"id {kind}, v array<double>, cell int, place int").select(F.col("id").alias("q"), "cell", "place")
+        places = exact.join(self.rows.select("id", "cell"), "id").join(cells, ["q", "cell"]).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+        n = dict(places.collect())  # a row for each cell at most
+        share = np.cumsum([n.get(p, 0) for p in range(self.nlist)]) / max(sum(n.values()), 1)
+        return int(np.searchsorted(share, target - 1e-12) + 1) if n else self.nlist
+
+    def search(self, queries: DataFrame, id: str, vec: str, k: int, probes: int | None = None) -> DataFrame:
+        """``q, i, score, rank`` by inner product over the probed cells (by default those of ``choose_probes``)."""
+        probes = probes or self.choose_probes(queries, id, vec, k)
         q = queries.select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
         kind = q.schema["id"].dataType.simpleString()
         asks = q.mapInArrow(_cells(self.centers, probes, "inner"), f"id {kind}, v array<double>, cell int")
@@ -115,7 +137,9 @@ class IvfIndex:
         return top_k(pairs.select("q", "i", F.round(dot("qv", "v"), 9).alias("score")), ["q"], [F.desc("score"), F.asc("i")], k)
 
 
-def _cells(centers, probes: int, kind: str):
+def _cells(centers, probes: int, kind: str, places: bool = False):
+    """The nearest cells of each vector, on demand with their place among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centers.value
         for b in batches:
@@ -125,7 +149,10 @@ def _cells(centers, probes: int, kind: str):
             far = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argsort(1, kind="stable")[:, :probes]
             at = np.repeat(np.arange(len(x)), far.shape[1])
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(far.ravel().astype(np.int32))], names=["id", "v", "cell"])
+            cols = {"id": b.column(0).take(take), "v": b.column(1).take(take), "cell": pa.array(far.ravel().astype(np.int32))}
+            if places:
+                cols["place"] = pa.array(np.tile(np.arange(far.shape[1], dtype=np.int32), len(x)))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 

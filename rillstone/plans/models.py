@@ -142,7 +142,16 @@ def embed_recommend(spark, sf_dir):
 
 def ivf_knn(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return knn.IvfIndex(v, "vec_id", "embedding", 16).search(v, "vec_id", "embedding", 10, 8).select("q", "i", "rank")
+    return knn.IvfIndex(v, "vec_id", "embedding").search(v, "vec_id", "embedding", 10).select("q", "i", "rank")
+
+
+def ivf_recall(spark, sf_dir):
+    """Recall of ``ivf_knn`` against brute force: vectors divisible by 20 against all."""
+    v = _vectors(spark, sf_dir)
+    exact = knn.blocked_top_k(v.where("vec_id % 20 = 0"), v, "vec_id", "vec_id", "embedding", 10, "inner-product").select("q", "i")
+    both = exact.join(ivf_knn(spark, sf_dir).select("q", "i", F.lit(1).alias("hit")), ["q", "i"], "left")
+    out = both.agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+    return out.withColumn("recall", F.try_divide(F.col("n_found").cast("double"), "n_exact"))
 
 
 def normalized_embeddings(spark, sf_dir):
@@ -304,7 +313,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, item_cosine_topk, user_cosine_topk, item_pearson, item_jaccard, min_common_pairs, item_matrix_density, itemcf_recommend, usercf_recommend,
-        itemcf_predict, swing_topk, swing_recommend, incremental_cosine, two_hop_edges, knn_cosine, knn_inner_product, embed_predict, embed_recommend, ivf_knn,
+        itemcf_predict, swing_topk, swing_recommend, incremental_cosine, two_hop_edges, knn_cosine, knn_inner_product, embed_predict, embed_recommend, ivf_knn, ivf_recall,
         normalized_embeddings, lightgcn_propagate, random_walk_pairs, deepwalk_walks, pinsage_neighbors, rmse_mae_r2, log_loss, balanced_accuracy, roc_auc, gauc,
         pr_auc, losses, list_metrics_at_k, user_metrics_at_k, coverage, serve_knn_item, serve_knn_user, kv_export, request_payloads, cold_start_popular,
     )

@@ -106,6 +106,15 @@ def test_blocked_product(spark, monkeypatch):
         assert sorted(got) == sorted((q, r + 1, int(i)) for q in range(100) for r, i in enumerate(np.lexsort((np.arange(100), -s[q]))[:4]))
 
 
+def test_inverted_file_reaches_its_recall(spark):
+    x = np.random.default_rng(4).standard_normal((1200, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    want = set(rows(knn.blocked_top_k(df, df, "id", "id", "v", 10, "inner-product"), "q", "i"))
+    index = knn.IvfIndex(df, "id", "v")
+    assert len(want & set(rows(index.search(df, "id", "v", 10), "q", "i"))) / len(want) >= 0.9
+    assert index.choose_probes(df, "id", "v", 10, 0.5) < index.choose_probes(df, "id", "v", 10) <= index.nlist
+
+
 def test_propagation(spark):
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "src int, dst int")
     x = np.array([[1.0, 0], [0, 1], [2, 2]])
