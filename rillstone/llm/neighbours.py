@@ -4,8 +4,10 @@ Vectors are dealt to the cells of a coarse quantiser and stored there as
 four-bit codes of their residual. Codes are chosen for the score, not for the
 distance: the part of the error along the vector, which shifts the scores of
 just those queries that matter, weighs ``eta`` times as much as the part
-across it. A query scans the tables of its nearest cells and the best codes
-are reranked with the exact vectors.
+across it. A query scans the tables of its nearest cells; the best codes are
+reranked with the exact vectors, and so is every further code whose score plus
+the length of its error reaches the k-th of them. Within the probed cells the
+result is therefore exact.
 
 Fitted on a bounded sample (``FIT_ROWS``); every vector is indexed and every
 vector queries. Cells are cut into blocks on both sides, so a crowded cell is
@@ -36,8 +38,10 @@ DB_BLOCK, QUERY_BLOCK = 4_096, 16_384
 #: Dimensions of a subspace; 16 centres each, so four bits.
 SUB = 2
 CENTRES = 16
-#: Best codes of a cell that are reranked for each query.
+#: Best codes of a cell that are reranked for each query before the bound of the rest is known.
 RERANK = 128
+#: Exact scores of single pairs computed at once.
+PAIRS = 131_072
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,6 @@ class Quantiser:
     cells: np.ndarray
     books: np.ndarray
     eta: float
-    slack: float = 0.0
 
     def assign(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` best cells of unit vectors, best first."""
@@ -135,11 +138,7 @@ def fit(x: np.ndarray, n_cells: int, threshold: float = 0.3, rounds: int = 8, se
                 if at.any():
                     left = at.sum() * np.eye(SUB) + (eta - 1) * outer[at].sum(0)
                     books[s, k] = np.linalg.solve(left, r[at, s].sum(0) + (eta - 1) * w[at].sum(0))
-    q = Quantiser(cells, books.astype(np.float32), eta)
-    err = x - q.decode(q.encode(x, cell), cell)
-    # the error of a score is about normal over directions; six deviations
-    slack = 6 * float(np.sqrt((err**2).sum(1).mean() / dim))
-    return Quantiser(cells, q.books, eta, slack)
+    return Quantiser(cells, books.astype(np.float32), eta)
 
 
 def choose_probes(q: Quantiser, x: np.ndarray, k: int, floor: float, target: float) -> int:
@@ -250,19 +249,26 @@ def _scan(q: Quantiser, k: int, floor: float):
         db_id, ask_id = (t.column("id").to_numpy() for t in (db, ask))
         x, codes = _unit(_matrix(db.column("vec"), np.float32)), _matrix(db.column("codes"), np.uint8)
         table = q.decode(unpack(codes, q.books.shape[0]), np.full(len(x), cell))
+        error = np.linalg.norm(x - table, axis=1).astype(np.float32) + np.float32(1e-5)  # no score of a unit query is off by more
         y = _unit(_matrix(ask.column("vec"), np.float32))
         got = []
         for i in range(0, len(y), 1024):
-            part = y[i : i + 1024]
-            s = part.astype(np.float32) @ table.T
-            if s.shape[1] > RERANK:
-                least = np.maximum(-np.partition(-s, RERANK - 1, axis=1)[:, RERANK - 1], floor - q.slack) if floor <= -1 or (s >= floor - q.slack).sum() > RERANK * len(part) else floor - q.slack
-                row, col = np.nonzero(s >= (least[:, None] if np.ndim(least) else least))
-            else:
-                row, col = np.nonzero(s >= floor - q.slack)
-            ok = ask_id[i + row] != db_id[col]
-            row, col = row[ok], col[ok]
-            cos = np.einsum("ij,ij->i", part[row], x[col])
+            part, own = y[i : i + 1024], ask_id[i : i + 1024, None] == db_id[None, :]
+            most = part.astype(np.float32) @ table.T + error
+            most[own] = -9
+            least = np.full(len(part), max(floor, -2.0))
+            wide = np.flatnonzero((most >= least[:, None]).sum(1) > RERANK)
+            if len(wide) and k <= RERANK:
+                # the k-th exact score among the best codes: what can't reach it is no neighbour
+                best = np.argpartition(-most[wide], RERANK - 1, axis=1)[:, :RERANK]
+                exact = np.einsum("qd,qrd->qr", part[wide], x[best])
+                exact[np.take_along_axis(own[wide], best, 1)] = -9
+                least[wide] = np.maximum(least[wide], -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+            hit = most >= least[:, None] - 1e-9
+            full = np.flatnonzero(hit.sum(1) > RERANK)  # still too many: all exact scores of the block
+            hit[full] &= part[full] @ x.T >= least[full, None] - 1e-9
+            row, col = np.nonzero(hit)
+            cos = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", part[row[j : j + PAIRS]], x[col[j : j + PAIRS]]) for j in range(0, len(row), PAIRS)]])
             ok = cos >= floor
             row, col, cos = row[ok] + i, col[ok], cos[ok]
             order = np.lexsort((db_id[col], -cos, row))

@@ -59,6 +59,17 @@ def test_crowded_cell_is_cut_into_blocks(spark, monkeypatch):
     assert row["recall"] >= 0.9
 
 
+@pytest.mark.parametrize("floor", [-2.0, 0.9])
+def test_group_of_near_copies_is_not_cut(spark, floor):
+    """A third of the vectors within a cosine of 0.99 of each other: all probed, so all neighbours are found."""
+    x = vectors(3000, 48)
+    r = np.random.default_rng(6)
+    x[::3] = r.standard_normal(48) + 0.08 * r.standard_normal((1000, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "u int, v array<float>")
+    row = recall(neighbours(df, "u", "v", 48, 5, floor, probes=2, cells=2), exact_neighbours(df, "u", "v", 48, 5, floor)).first()
+    assert row["n_exact"] >= 5000 and row["recall"] == 1
+
+
 def test_codes_round_trip_and_score_error():
     x = nb._unit(vectors(2000, 16)).astype(np.float32)
     q = nb.fit(x, 20)
