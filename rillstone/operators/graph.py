@@ -97,6 +97,20 @@ def normalized_edges(edges: DataFrame, kind: str = "symmetric") -> DataFrame:
     return e.join(deg, "src").join(other, "dst").select("src", "dst", (1 / F.sqrt(F.col("_d") * F.col("_e"))).alias("w"))
 
 
+def sampled_sums(edges: DataFrame, num: int, kind: str = "symmetric", seed: int = 42) -> DataFrame:
+    """For edges both ways a sample of at most ``num`` neighbours of each node: ``node, near, w`` (arrays).
+
+    Weights are those of ``normalized_edges`` times neighbours a sampled one,
+    so that the weighted sum estimates the one over all, and is it for at most
+    ``num`` neighbours. Loops are left out.
+    """
+    e = normalized_edges(edges, kind).where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("_d"))
+    kept = sampled_neighbors(e, num, seed).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "w"))).alias("_l"))
+    share = F.col("_d") / F.size("_l")
+    return kept.join(degree, "src").select(F.col("src").alias("node"), F.col("_l.dst").alias("near"), F.transform("_l.w", lambda x: x * share).alias("w"))
+
+
 def lightgcn(edges: DataFrame, vectors: DataFrame, id: str, vec: str, dim: int, layers: int = 3) -> DataFrame:
     """Mean of the embeddings of layers 0 to ``layers``; a layer is one join and one aggregate."""
     w = normalized_edges(edges)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.operators import factor, history, knn, neural, vocab
+from rillstone.operators import factor, graph, history, knn, neural, sampling, vocab
 from rillstone.operators.dataset import Catalog
 from rillstone.plans.data import chrono_split, lists
 from rillstone.plans.interactions import ORDER, interactions, table
@@ -14,6 +16,8 @@ from rillstone.session import materialize, scratch
 from rillstone.streaming import updates
 
 L = 5
+#: Neighbours of a node in a training row of LightGCN and NGCF; scores use all of them.
+NEAR = 16
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame]:
@@ -33,15 +37,56 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[Catalog, DataFrame]:
     return cat, materialize(out.withColumn("space", F.lit(space.total)), "training")
 
 
+def _pairs(cat: Catalog) -> DataFrame:
+    """The distinct (user, item) of the training part."""
+    return cat.user_consumed.select("user", F.explode("items").alias("item")).distinct()
+
+
+def _mean_pred(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("user").agg(F.round(F.avg("pred"), 6).alias("mean_pred"), F.count(F.lit(1)).alias("n"))
+
+
+def _pairwise(name: str, cat: Catalog, rows: DataFrame, spec: neural.ModelSpec) -> DataFrame:
+    """Positives against sampled unconsumed items; LightGCN and NGCF also on sampled neighbours, and scored over the whole graph."""
+    pairs = materialize(_pairs(cat), "pairs")
+    liked = rows.where("label = 1").select("user", "item").distinct()
+    liked = liked.withColumn("row", F.col("user").cast("long") * cat.n_items + F.col("item")).withColumn("label", F.lit(1.0))
+    triples = sampling.unconsumed_negatives(liked, "row", "user", "item", pairs, cat.n_items, 1)
+    if name == "BPR":
+        return neural.train(materialize(triples, "triples"), spec).score(rows, ["user", "item"])
+    triples = materialize(neural.with_graph_samples(triples, pairs, spec, NEAR), "triples")
+    return neural.train(triples, spec).score_graph(rows.select("user", "item"), pairs)
+
+
+def _with_item_neighbors(name: str, cat: Catalog, rows: DataFrame) -> DataFrame:
+    """The item's graph neighbours as ``seq``, their importance as ``dense``: of seeded walks, sampled (GraphSage) or the most visited (PinSage)."""
+    pairs = materialize(_pairs(cat), "pairs")
+    iu, ui, items = graph.adjacency(pairs, "item", "user"), graph.adjacency(pairs, "user", "item"), pairs.select("item").distinct()
+    if name == "GraphSage":
+        hops = graph.bipartite_walk_pairs(items, "item", iu, ui, 2 * L, 1).where("node <> positive")
+        near = graph.sampled_neighbors(hops.select(F.col("node").alias("src"), F.col("positive").alias("dst")).distinct(), L)
+        near = near.select(F.col("src").alias("node"), F.col("dst").alias("neighbor"), F.lit(1.0).alias("weight"))
+    else:
+        near = graph.weighted_neighbors(graph.bipartite_walk_pairs(items, "item", iu, ui, 6, 2, True), L)
+    near = near.groupBy(F.col("node").alias("item")).agg(F.array_sort(F.collect_list(F.struct("neighbor", "weight"))).alias("_l"))
+    out = rows.drop("seq", "seq_len", "dense").join(near, "item", "left")
+    ids = F.coalesce(F.col("_l.neighbor").cast("array<long>"), F.array().cast("array<long>"))
+    weights = F.coalesce(F.col("_l.weight"), F.array().cast("array<double>"))
+    out = out.select("*", history.pad(ids, L, F.lit(cat.n_items).cast("long")).alias("seq"), F.greatest(F.size(ids), F.lit(1)).alias("seq_len"), history.pad(weights, L, F.lit(0.0)).alias("dense"))
+    return materialize(out.drop("_l"), "item-neighbors")
+
+
 def _model(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cat, rows = _training(spark, sf_dir)
         total = rows.select("space").first()[0]
         spec = neural.ModelSpec(name, cat.n_users, cat.n_items, embed=8, hidden=(16,), n_sparse=total, n_fields=2, n_dense=1, seq_len=L, rounds=1, layers=1)
-        if name == "PinSage":
-            rows = rows.withColumn("dense", F.array_repeat(F.lit(1.0), L))
+        if name in ("BPR", *neural.GRAPH_MODELS):
+            return _mean_pred(_pairwise(name, cat, rows, replace(spec, loss="bpr")))
+        if name in ("GraphSage", "PinSage"):
+            rows = _with_item_neighbors(name, cat, rows)
         model = neural.train(rows, spec)
-        return model.score(rows, ["user", "item"]).groupBy("user").agg(F.round(F.avg("pred"), 6).alias("mean_pred"), F.count(F.lit(1)).alias("n"))
+        return _mean_pred(model.score(rows, ["user", "item"]))
 
     run.__name__ = f"model_{name.lower()}"
     return run

@@ -190,6 +190,40 @@ def test_training_learns_and_grows(spark):
         neural.train(df.limit(0), spec)
 
 
+def test_graph_models_learn_through_propagation(spark):
+    """Two groups of users and items: trained pairwise, the own group's unseen items score higher; training and scores agree."""
+    r = np.random.default_rng(5)
+    pairs = sorted({(int(u), int(2 * i + u % 2)) for u, i in zip(r.integers(0, 20, 120), r.integers(0, 10, 120), strict=True)})
+    df = spark.createDataFrame(pairs, "user int, item int")
+    data = [(u, i, int(j), 1.0) for u, i in pairs for j in r.integers(0, 10, 6) * 2 + 1 - u % 2]
+    triples = spark.createDataFrame(data, "user int, item int, negative int, label double")
+    grid = spark.createDataFrame([(u, i) for u in range(20) for i in range(20)], "user int, item int")
+    seen, scores = set(pairs), []
+    for name in neural.GRAPH_MODELS:
+        spec = neural.ModelSpec(name, 20, 20, 8, layers=1, rounds=4, lr=0.02, batch=32, loss="bpr")
+        rows_ = neural.with_graph_samples(triples, df, spec, 40)  # all neighbours
+        m = neural.train(rows_, spec)
+        got = {(u, i): x for u, i, x in rows(m.score_graph(grid, df), "user", "item", "pred")}
+        own, other = ([got[u, i] for u in range(20) for i in range(20) if (u, i) not in seen and (u + i) % 2 == k] for k in (0, 1))
+        assert m.losses[-1] < m.losses[0] and np.mean(own) > np.mean(other) + 0.1
+        p = neural.Init(spec)
+        p.values = {k: ad.Var(v) for k, v in m.params.items()}
+        b = neural._batch(rows_.limit(50).toArrow())
+        z = neural.MODELS[name][0](p, b).value[:, 0]
+        assert np.allclose(1 / (1 + np.exp(-z)), [got[u, i] for u, i in zip(b["user"], b["item"], strict=True)])
+        scores.append(got)
+        with pytest.raises(ValueError):
+            neural.train(triples, spec)
+    assert scores[0] != scores[1]
+
+
+def test_graph_samples_estimate_the_sum(spark):
+    star = [(0, 2 * k + 1) for k in range(10)]
+    edges = spark.createDataFrame(star + [(b, a) for a, b in star], "src int, dst int")
+    near = {n: (x, w) for n, x, w in rows(graph.sampled_sums(edges, 4))}
+    assert len(near[0][0]) == 4 and sum(near[0][1]) == pytest.approx(10 / np.sqrt(10)) and near[3] == ([0], [pytest.approx(1 / np.sqrt(10))])
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], [[1.0, 2.0], [3.0, 5.0]], [True, False])], "a array<double>, z array<double>, m array<array<double>>, ok array<boolean>")
     one = df.select(arrays.norm("a"), arrays.cosine("a", "z"), arrays.normalize("z"), arrays.pool(F.col("m"), F.col("ok"), 2, "mean"), arrays.pool(F.col("m"), F.array(F.lit(False), F.lit(False)), 2)).first()
@@ -202,3 +236,24 @@ def test_vector_expressions(spark):
 def test_requests(spark):
     raw = spark.createDataFrame([('{"user": 1, "n_rec": 3}',), ('{"user": 1, "n_rec": 3, "x": 1}',), ("{",), ('{"n_rec": 1}',), ('{"user": "a", "n_rec": 0}',), (None,)], "value string")
     assert [r["error"] for r in serving.parse_requests(raw).collect()] == [None, "unknown field", "malformed", "no user", "bad n_rec", "malformed"]
+
+
+def test_item_neighbours_of_graph_models(spark):
+    """Sequences of GraphSage and PinSage come from the item's graph, not from the row's user, and PinSage's weights differ."""
+    from types import SimpleNamespace
+
+    from rillstone.plans import learned
+
+    lists = [(0, [0, 1]), (1, [0, 1]), (2, [0, 2]), (3, [3])]
+    cat = SimpleNamespace(user_consumed=spark.createDataFrame(lists, "user int, items array<int>"), n_items=4)
+    data = spark.createDataFrame([(u, i, 1.0, [9], 1, [0.5]) for u, items in lists for i in items], "user int, item int, label double, seq array<int>, seq_len int, dense array<double>")
+    linked = {0: {1, 2}, 1: {0, 2}, 2: {0, 1}, 3: set()}
+    for name in ("GraphSage", "PinSage"):
+        got = {}
+        for item, seq, n, w in rows(learned._with_item_neighbors(name, cat, data), "item", "seq", "seq_len", "dense"):
+            near = [x for x in seq if x != 4]
+            assert len(seq) == len(w) == learned.L and set(near) <= linked[item] and n == max(len(near), 1)
+            assert got.setdefault(item, (seq, w)) == (seq, w)
+            if near:
+                assert sum(w) == pytest.approx(1 if name == "PinSage" else len(near))
+        assert any(set(s) - {4} for s, _ in got.values()) and set(got[3][0]) == {4}
