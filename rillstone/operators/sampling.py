@@ -61,7 +61,7 @@ def unconsumed_negatives(df: DataFrame, row: str, user: str, item: str, consumed
 
 
 def popular_negatives(df: DataFrame, row: str, item: str, log: DataFrame, user: str, num: int, seed: int = 42, temperature: float = 0.75, buckets: int = 1024) -> DataFrame:
-    """Negatives drawn by popularity to a power; one further draw where the first is the row's own item.
+    """``num`` negatives drawn by popularity to a power; two draws for each, those of the row's own item rank behind all others.
 
     The cumulative distribution is cut into equal buckets, so a draw joins by
     bucket and then by range rather than with all items.
@@ -81,8 +81,8 @@ def popular_negatives(df: DataFrame, row: str, item: str, log: DataFrame, user:
     cdf = cdf.withColumn("_bucket", F.explode(F.sequence(F.least(F.floor(F.col("_lo") * buckets).cast("int"), last), F.least(F.floor(F.col("_hi") * buckets).cast("int"), last))))
     draws = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2 * num - 1)))).withColumn("_u", uniform(F.col(row), F.col("_k"), seed))
     draws = draws.withColumn("_bucket", F.floor(F.col("_u") * buckets).cast("int"))
-    hit = draws.join(cdf, "_bucket").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).where(F.col("negative") != F.col(item))
-    kept = top_k(hit, [row], [F.asc("_k")], num, "_r").select(row, "negative")
+    hit = draws.join(cdf, "_bucket").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    kept = top_k(hit, [row], [(F.col("negative") == F.col(item)).asc(), F.asc("_k")], num, "_r").select(row, "negative")
     return df.join(kept, row)
 
 

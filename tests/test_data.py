@@ -122,3 +122,13 @@ def test_delimited_source(spark, tmp_path):
     df = tables.read_csv(spark, str(tmp_path / "r.dat"), "user int, item int, label int, time long", "::", False)
     assert rows(df) == [(1, 10, 5, 978300760), (2, 20, 3, 978302109)]
     assert tables.null_report(df).first()[0] == 0
+
+
+def test_popular_negatives_of_a_dominating_item(spark):
+    """Every row has all its negatives, the own item only where draws of others run out."""
+    from rillstone.operators import sampling
+
+    log = spark.createDataFrame([(u, 0) for u in range(1000)] + [(0, 1)], "user int, item int")
+    df = spark.createDataFrame([(r, r % 2) for r in range(200)], "row int, item int")
+    got = sampling.popular_negatives(df, "row", "item", log, "user", 2).select("row", "item", "negative").collect()
+    assert len(got) == 400 and {r["negative"] for r in got if r["item"] == 1} == {0}
