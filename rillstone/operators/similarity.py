@@ -1,35 +1,41 @@
 """Neighbourhood models: cosine, Pearson, Jaccard and Swing similarity, their predictions and increments.
 
-Similarities come from one self join on the shared key with a < b, aggregated
-on the map side; the mirror image is added only where neighbours are ranked.
-Rows may repeat a pair of keys: callers keep the last beforehand
-(``drop_duplicates_last``).
+Similarities are the cells of a blocked Gram matrix (``operators/gram.py``):
+crowded keys are cut into parts, equal cells summed before the shuffle. Where
+only the nearest are asked for, the k best of each entity leave a tile, and the
+pairs are never written. Ids are integers; rows must not repeat a pair of
+keys: callers keep the last beforehand (``drop_duplicates_last``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rillstone.operators import gram
 from rillstone.operators.ordering import top_k
 from rillstone.session import materialize
 
 
+def _integral(df: DataFrame, entity: str) -> T.DataType:
+    """The type of an id column; anything but integers is refused."""
+    kind = df.schema[entity].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{entity} is {kind.simpleString()}: encode ids as integers first")
+    return kind
+
+
 def pair_sums(df: DataFrame, entity: str, key: str, value: str) -> DataFrame:
     """``a, b, dot, common`` over the keys that two entities share, a < b."""
-    left = df.select(F.col(key).alias("_k"), F.col(entity).alias("a"), F.col(value).cast("double").alias("_x"))
-    right = df.select(F.col(key).alias("_k"), F.col(entity).alias("b"), F.col(value).cast("double").alias("_y"))
-    pairs = left.join(right, "_k").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("dot"), F.count(F.lit(1)).alias("common"))
-
+    kind = _integral(df, entity)
+    rows = materialize(df.select(entity, key, value), "similarity-rows")
+    cells = gram.gram(gram.keyed_records(rows, key, entity, value), gram.cells_of(), "a long, b long, n long, dot double", valued=True)
+    return cells.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "dot", F.col("n").alias("common"))
 
-def similarities(df: DataFrame, entity: str, key: str, value: str, kind: str = "cosine", min_common: int = 1) -> DataFrame:
-    """``a, b, sim, common`` (a < b) of entities that share at least ``min_common`` keys.
 
-    cosine divides by the norms over all keys; pearson centres each entity by
-    its mean over all its keys and does the same; jaccard ignores values.
-    Zero norms give 0.
-    """
+def _prepared(df: DataFrame, entity: str, key: str, value: str, kind: str) -> DataFrame:
+    """Rows with the value that the products (sums, for jaccard) are taken of."""
     if kind not in ("cosine", "pearson", "jaccard"):
         raise ValueError(f"unknown similarity {kind!r}")
     rows = df.select(entity, key, F.col(value).cast("double").alias("_v"))
@@ -39,13 +45,42 @@ def similarities(df: DataFrame, entity: str, key: str, value: str, kind: str = "
     # what the sizes are needed for is done on the rows, so the many pairs are joined with nothing
     size = F.count(F.lit(1)).cast("double") if kind == "jaccard" else F.sqrt(F.sum(F.col("_v") * F.col("_v")))
     rows = rows.join(rows.groupBy(entity).agg(size.alias("_n")), entity)
+    return rows.select(entity, key, (F.col("_n") if kind == "jaccard" else F.coalesce(F.try_divide("_v", "_n"), F.lit(0.0))).alias("_v"))
+
+
+def _score(kind: str):
+    """Similarity of a cell: the product of unit values, or from the summed sizes of both sets."""
     if kind == "jaccard":
-        left = rows.select(F.col(key).alias("_k"), F.col(entity).alias("a"), F.col("_n").alias("_na"))
-        right = rows.select(F.col(key).alias("_k"), F.col(entity).alias("b"), F.col("_n").alias("_nb"))
-        pairs = left.join(right, "_k").where("a < b").groupBy("a", "b").agg(F.max(F.col("_na") + F.col("_nb")).alias("_n"), F.count(F.lit(1)).alias("common"))
-        return pairs.where(F.col("common") >= min_common).select("a", "b", (F.col("common") / (F.col("_n") - F.col("common"))).alias("sim"), "common")
-    unit = rows.select(entity, key, F.coalesce(F.try_divide("_v", "_n"), F.lit(0.0)).alias("_v"))
-    return pair_sums(unit, entity, key, "_v").where(F.col("common") >= min_common).select("a", "b", F.col("dot").alias("sim"), "common")
+        return lambda n, dot: n / (dot / n - n)
+    return lambda n, dot: dot
+
+
+def similarities(df: DataFrame, entity: str, key: str, value: str, kind: str = "cosine", min_common: int = 1) -> DataFrame:
+    """``a, b, sim, common`` (a < b) of entities that share at least ``min_common`` keys.
+
+    cosine divides by the norms over all keys; pearson centres each entity by
+    its mean over all its keys and does the same; jaccard ignores values.
+    Zero norms give 0. Null ids and keys match nothing.
+    """
+    type_ = _integral(df, entity)
+    rows = materialize(df.select(entity, key, value), "similarity-rows")  # read for sizes, means and products
+    work = gram.keyed_records(_prepared(rows, entity, key, value, kind), key, entity, "_v", counted=rows)
+    cells = gram.gram(work, gram.cells_of(min_common), "a long, b long, n long, dot double", valued=True, add=kind == "jaccard")
+    sim = F.col("n") / (F.col("dot") / F.col("n") - F.col("n")) if kind == "jaccard" else F.col("dot")
+    return cells.select(F.col("a").cast(type_).alias("a"), F.col("b").cast(type_).alias("b"), sim.alias("sim"), F.col("n").alias("common"))
+
+
+def top_neighbors(df: DataFrame, entity: str, key: str, value: str, kind: str = "cosine", k: int = 20, min_common: int = 1, digits: int = 9) -> DataFrame:
+    """The ``k`` most similar of each entity without the pairs: ``entity, neighbor, sim, common, rank``.
+
+    As ``neighbors`` of ``similarities``: equal (rounded) sims go to the smaller id.
+    """
+    type_ = _integral(df, entity)
+    rows = materialize(df.select(entity, key, value), "similarity-rows")  # read for sizes, means and products
+    work = gram.keyed_records(_prepared(rows, entity, key, value, kind), key, entity, "_v", counted=rows)
+    lists = gram.gram(work, gram.best_of(k, _score(kind), digits, min_common), "entity long, neighbor long, sim double, common long", valued=True, add=kind == "jaccard")
+    lists = lists.withColumns({c: F.col(c).cast(type_) for c in ("entity", "neighbor")})
+    return top_k(lists, ["entity"], [F.desc("sim"), F.asc("neighbor")], k)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -152,21 +187,38 @@ def density(pairs: DataFrame, n: int) -> DataFrame:
 
 
 class CfModel:
-    """User- or item-based collaborative filtering over stored similarities."""
+    """User- or item-based collaborative filtering over stored neighbour lists.
+
+    The lists are written once; the pairs behind them only if ``predict`` asks.
+    """
 
     def __init__(self, df: DataFrame, user: str, item: str, by: str = "item", kind: str = "cosine", k: int = 20, min_common: int = 1, task: str = "ranking"):
         if by not in ("user", "item") or task not in ("rating", "ranking"):
             raise ValueError("by is user or item, task rating or ranking")
         self.user, self.item, self.by, self.k, self.task = user, item, by, k, task
+        self.kind, self.min_common = kind, min_common
         self.history = df.select(user, item, F.col("label").cast("double").alias("label"))
-        entity, key = (item, user) if by == "item" else (user, item)
-        self.sims = materialize(similarities(self.history, entity, key, "label", kind, min_common), "cf-sims")
+        self._ids = (item, user) if by == "item" else (user, item)
+        self._sims = self._near = None
+
+    @property
+    def sims(self) -> DataFrame:
+        """All similar pairs ``a, b, sim, common``."""
+        if self._sims is None:
+            self._sims = materialize(similarities(self.history, *self._ids, "label", self.kind, self.min_common), "cf-sims")
+        return self._sims
+
+    @property
+    def near(self) -> DataFrame:
+        """The ``k`` nearest of each entity: ``entity, neighbor, sim, common, rank``."""
+        if self._near is None:
+            self._near = materialize(top_neighbors(self.history, *self._ids, "label", self.kind, self.k, self.min_common), "cf-near")
+        return self._near
 
     def recommend(self, users: DataFrame, n: int, filter_consumed: bool = True) -> DataFrame:
         """``user, item, score, rank``: the best items, consumed ones left out; maybe fewer than ``n``."""
-        near = neighbors(self.sims, self.k)
         make = item_cf_scores if self.by == "item" else user_cf_scores
-        scores = make(users, self.history, near, self.user, self.item)
+        scores = make(users, self.history, self.near, self.user, self.item)
         if filter_consumed:
             scores = scores.join(self.history.select(self.user, self.item), [self.user, self.item], "left_anti")
         return top_k(scores.withColumn("score", F.round("score", 9)), [self.user], [F.desc("score"), F.asc(self.item)], n)

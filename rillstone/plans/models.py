@@ -25,20 +25,25 @@ def _top(pairs: DataFrame, k: int = K) -> DataFrame:
     return similarity.neighbors(pairs, k, 6).select("entity", "neighbor", "rank", "sim")
 
 
+def _near(spark, sf_dir, entity: str, key: str, kind: str, least: int = 1):
+    near = similarity.top_neighbors(distinct_last(spark, sf_dir), entity, key, "label", kind, K, least, 6)
+    return near.select("entity", "neighbor", "rank", "sim")
+
+
 def item_cosine_topk(spark, sf_dir):
-    return _top(item_cosine(spark, sf_dir))
+    return _near(spark, sf_dir, "item", "user", "cosine")
 
 
 def user_cosine_topk(spark, sf_dir):
-    return _top(similarity.similarities(distinct_last(spark, sf_dir), "user", "item", "label"))
+    return _near(spark, sf_dir, "user", "item", "cosine")
 
 
 def item_pearson(spark, sf_dir):
-    return _top(similarity.similarities(distinct_last(spark, sf_dir), "item", "user", "label", "pearson", 2))
+    return _near(spark, sf_dir, "item", "user", "pearson", 2)
 
 
 def item_jaccard(spark, sf_dir):
-    return _top(similarity.similarities(distinct_last(spark, sf_dir), "item", "user", "label", "jaccard"))
+    return _near(spark, sf_dir, "item", "user", "jaccard")
 
 
 def min_common_pairs(spark, sf_dir):
@@ -262,7 +267,7 @@ def coverage(spark, sf_dir):
 def _serve(spark, sf_dir, by):
     d = distinct_last(spark, sf_dir)
     entity, key = ("item", "user") if by == "item" else ("user", "item")
-    near = materialize(similarity.neighbors(similarity.similarities(d, entity, key, "label", "jaccard"), K, 6), "near")
+    near = materialize(similarity.top_neighbors(d, entity, key, "label", "jaccard", K, digits=6), "near")
     asks = d.select("user").distinct().withColumn("n_rec", (F.col("user") % 7 + 1).cast("int"))
     return serving.serve_knn(asks, "user", "n_rec", d, "item", near, by).select("user", "item", "rank", "score")
 
