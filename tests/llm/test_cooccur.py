@@ -8,7 +8,6 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from rillstone.llm import cooccur
 from rillstone.llm.cooccur import associations, clean_basket, latest, pair_counts
 
 
@@ -25,13 +24,12 @@ def brute(lists):
     return len(sets), single, pairs
 
 
-@pytest.mark.parametrize(("block", "cells"), [(512, 2_000_000), (7, 50)])
-def test_equals_brute_force(spark, monkeypatch, block, cells):
-    monkeypatch.setattr(cooccur, "CELLS", cells)
+@pytest.mark.parametrize("block", [512, 7])
+def test_equals_brute_force(spark, block):
     lists = baskets()
     n, single, pairs = brute(lists)
     df = spark.createDataFrame([(b,) for b in lists], "b array<int>").withColumn("m", F.lit(1))
-    got = pair_counts(df.select(clean_basket(F.col("b")).alias("m")), "m", block)
+    got = pair_counts(df.select(clean_basket(F.col("b")).alias("m")), "m", part=block)
     assert {(r["a"], r["b"]): r["n_ab"] for r in got.collect()} == dict(pairs)
     if block == 512:
         out = {(r["a"], r["b"]): (r["n_ab"], r["lift"]) for r in associations(df, "b", 3, 1.2).collect()}
@@ -43,3 +41,18 @@ def test_latest_and_empty(spark):
     df = spark.createDataFrame([(1, 1, [1]), (2, 1, [2]), (3, None, [3]), (4, 2, None)], "e int, u int, x array<int>")
     assert rows(latest(df, ["u"], "e", "x")) == [(1, [2]), (2, None)]
     assert associations(df.limit(0), "x").count() == 0
+
+
+def test_ids_beyond_32_bits(spark):
+    far = 2**32 + 2
+    df = spark.createDataFrame([([1, far],), ([far, 1, -far],), ([1, 2],)], "b array<bigint>")
+    assert rows(associations(df, "b").select("a", "b", "n_ab")) == [(-far, 1, 1), (-far, far, 1), (1, 2, 1), (1, far, 2)]
+
+
+def test_bounds_lose_no_pair(spark):
+    """Items in nearly every basket and rare ones are left out of the matrix, pairs that pass are the same."""
+    r = random.Random(9)
+    lists = [[0, *([1, 2] if r.random() < 0.1 else []), *[r.randrange(3, 400) for _ in range(5)]] for _ in range(400)]
+    n, single, pairs = brute(lists)
+    got = {(x["a"], x["b"]): x["n_ab"] for x in associations(spark.createDataFrame([(b,) for b in lists], "b array<int>"), "b", 5, 4.0).collect()}
+    assert got == {p: c for p, c in pairs.items() if c >= 5 and c * n >= 4.0 * single[p[0]] * single[p[1]]} and (1, 2) in got
