@@ -106,12 +106,11 @@ def _split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "split_ratings").where("user_id is not null and item is not null and label is not null and not isnan(label)")
     rows = rows.withColumn("split", F.lower(F.trim("split_name"))).withColumn("text", _record_text(F.col("user_id"), F.col("item"), F.col("label")))
     train, held = rows.where("split = 'train'"), rows.where("split in ('eval', 'test')")
-    pairs = overlaps(train, held, "row_id", "text", RECORD_K, RECORD_W)
-    facts = [F.col(c) for c in ("user_id", "item", "label", "split", "feed")]
-    a = train.select(F.col("row_id").alias("left_id"), F.struct(*facts).alias("a"))
-    b = held.select(F.col("row_id").alias("right_id"), F.struct(*facts).alias("b"))
-    exact = pairs.join(a, "left_id").join(b, "right_id")
-    return exact.where("a.user_id = b.user_id and a.item = b.item and abs(a.label - b.label) <= 0.5")
+    pairs = overlaps(train, held, "row_id", "text", RECORD_K, RECORD_W, ["user_id", "item", "label", "split", "feed"])
+    # user and item stand for 32 characters: rows are near if the alignment matches as many
+    pairs = pairs.where(F.col("matched") >= RECORD_K + RECORD_W - 1).withColumnsRenamed({"left_row": "a", "right_row": "b"})
+    # an exact check of what the alignment let through: the ids are hashed in the text
+    return pairs.where("a.user_id = b.user_id and a.item = b.item and abs(a.label - b.label) <= 0.5")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +118,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("left_id", "right_id").alias("row_a"), F.greatest("left_id", "right_id").alias("row_b"))
 
 
+def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each overlapping held-out row with its source, its partners in train and the most of it that one of them covers."""
+    rows = _split_overlaps(spark, sf_dir).groupBy("right_id", "b.split", "b.feed").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.max((F.col("a.label") == F.col("b.label")).cast("int")).alias("same"), F.round(F.max("coverage"), 6).alias("coverage")
+    )
+    return rows.withColumnRenamed("right_id", "row_id")
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping rows of each held-out split and feed, and how many of them are the same."""
-    pairs = _split_overlaps(spark, sf_dir)
-    rows = pairs.groupBy("right_id").agg(
-        F.first("b.split").alias("split"), F.first("b.feed").alias("feed"), F.count(F.lit(1)).alias("n"), F.max((F.col("a.label") == F.col("b.label")).cast("int")).alias("same")
+    """Overlapping rows of each held-out split and feed, how many of them are the same, and their mean coverage."""
+    rows = p6_coverage(spark, sf_dir)
+    return rows.groupBy("split", "feed").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_pairs").alias("n_pairs"), F.sum("same").alias("n_same"), F.round(F.avg("coverage"), 4).alias("mean_coverage")
     )
-    return rows.groupBy("split", "feed").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_pairs"), F.sum("same").alias("n_same"))
 
 
 # ---- p7: most frequent values
@@ -197,7 +203,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_report, p7_found, p7_counts, p8_found, p8_matches, p8_clean, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_ranked, p4_found, p4_lift, p5_found, p5_recall, p6_found, p6_coverage, p6_report, p7_found, p7_counts, p8_found, p8_matches, p8_clean, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _ASK = r"""
 with ask as (
@@ -237,9 +243,11 @@ select distinct least(a, b) as user_a, greatest(a, b) as user_b from t
 
 _SPLITS = """
 with r as (select row_id, user_id, item, label, feed, lower(trim(split_name)) as split from split_ratings where label is not null),
-p as (select a.row_id as t, b.row_id as h, b.split, b.feed, a.label = b.label as same
+p as (select a.row_id as t, b.row_id as h, b.split, b.feed, a.label = b.label as same, printf('%.1f', a.label) as x, printf('%.1f', b.label) as y
       from r a join r b on a.user_id = b.user_id and a.item = b.item and abs(a.label - b.label) <= 0.5
-      where a.split = 'train' and b.split in ('eval', 'test'))
+      where a.split = 'train' and b.split in ('eval', 'test')),
+c as (select h as row_id, split, feed, count(*) as n_pairs, max(same::int) as same,
+        round(max(1 - levenshtein(x, y)::double / (32 + greatest(length(x), length(y)))), 6) as coverage from p group by h, split, feed)
 """
 
 _TOP = """
@@ -260,8 +268,9 @@ ORACLE = {
         from f where n_ab * n >= 6 * n_a * n_b""",
     "p5_found": _VECTORS,
     "p6_found": _SPLITS + "select least(t, h) as row_a, greatest(t, h) as row_b from p",
-    "p6_report": _SPLITS + """select split, feed, count(*) as n_rows, cast(sum(n) as bigint) as n_pairs, cast(sum(same) as bigint) as n_same
-        from (select h, split, feed, count(*) as n, max(same::int) as same from p group by h, split, feed) group by split, feed""",
+    "p6_coverage": _SPLITS + "select row_id, split, feed, n_pairs, same, coverage from c",
+    "p6_report": _SPLITS + """select split, feed, count(*) as n_rows, cast(sum(n_pairs) as bigint) as n_pairs, cast(sum(same) as bigint) as n_same,
+        round(avg(coverage), 4) as mean_coverage from c group by split, feed""",
     "p7_found": _TOP + "select field_name, item from f",
     "p7_counts": _TOP + "select field_name, item, n from f",
 }

@@ -2,11 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from conftest import rows
-from pyspark.sql import functions as F
 
 from rillstone.llm import queries
-from rillstone.llm.winnow import overlaps, selected
+from rillstone.llm.winnow import fingerprints, overlaps
 
 
 def test_shared_stretch_is_always_found(spark):
@@ -24,14 +24,40 @@ def test_shared_stretch_is_always_found(spark):
     assert all(0 <= c <= 1 for c in got.values())
 
 
-def test_short_null_and_empty(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "abc"), (4, "abcdef"), (5, "abcdefg")], "id int, s string")
-    n = {x["id"]: x["n"] for x in df.select("id", F.size(selected(F.col("s"), 6, 4)).alias("n")).collect()}
-    assert n[2] == n[3] == 0 and n[4] == 1 and n[5] == 1
-    assert rows(overlaps(df, df, "id", "s", 6, 4), "left_id", "right_id") == [(4, 4), (4, 5), (5, 4), (5, 5)] or (4, 4) in rows(overlaps(df, df, "id", "s", 6, 4), "left_id", "right_id")
+def test_short_records_match_when_equal(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "abc"), (4, "abcdef"), (5, "abcdefg"), (None, "abc"), (6, "abd")], "id int, s string")
+    got = {(r["left_id"], r["right_id"]): r["coverage"] for r in overlaps(df, df, "id", "s", 6, 4).collect()}
+    assert {p for p, c in got.items() if c == 1} == {(i, i) for i in (3, 4, 5, 6)}
+    assert got.keys() <= {(3, 3), (4, 4), (5, 5), (6, 6), (4, 5), (5, 4)} and got.get((4, 5), 6 / 7) == 6 / 7
     assert overlaps(df.limit(0), df, "id", "s", 6, 4).count() == 0
 
 
+def test_fingerprints_equal_a_plain_winnowing():
+    r = random.Random(8)
+    k, w = 5, 4
+    texts = ["".join(r.choice("ab€😀") for _ in range(r.randrange(0, 30))) for _ in range(60)]
+    rec, h, at = fingerprints(pa.array(texts), k, w)
+    grams = {}
+    for i, t in enumerate(texts):  # the hash of each k-gram, from texts that are one k-gram
+        for p in range(len(t) - k + 1):
+            grams[i, p] = int(fingerprints(pa.array([t[p : p + k]]), k, w)[1].view("uint64")[0])
+    want = set()
+    for i, t in enumerate(texts):
+        n = len(t) - k + 1
+        for p in range(max(1, n - w + 1) if n > 0 else 0):
+            least = min(range(p, min(p + w, n)), key=lambda q: (grams[i, q], -q))
+            want.add((i, least + 1))
+    assert {(a, b) for a, b in zip(rec.tolist(), at.tolist(), strict=True) if len(texts[a]) >= k} == want
+    assert sorted(i for i, t in enumerate(texts) if 0 < len(t) < k) == sorted(a for a in rec.tolist() if len(texts[a]) < k)
+
+
+def test_alignment_tells_near_records_from_those_that_share_a_seed(spark):
+    left = spark.createDataFrame([(1, "abcdefgh" + "x" * 30)], "id int, s string")
+    right = spark.createDataFrame([(2, "y" * 30 + "abcdefgh"), (3, "abcdefgh" + "x" * 29 + "z")], "id int, s string")
+    got = {r["right_id"]: r["matched"] for r in overlaps(left, right, "id", "s", 6, 2).collect()}
+    assert got == {2: 0, 3: 37}
+
+
 def test_ratings_across_splits(spark, tmp_path):
     r = random.Random(5)
     data = []
