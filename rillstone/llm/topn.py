@@ -11,6 +11,7 @@ scores are read, so the tie rule (smaller item first) holds.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillstone.operators.balance import LoadPlan, plan_loads, replicate, spread
-from rillstone.session import materialize, scratch
+from rillstone.operators.balance import LoadPlan, fragment_replicate_join, plan_loads, replicate, spread
+from rillstone.session import jvm_fs, materialize, scratch
 
 #: Bytes of a row group, the unit of skipping.
 ROW_GROUP_BYTES = 256 << 10
@@ -36,20 +37,33 @@ class GroupIndex:
     plan: LoadPlan
 
     @classmethod
-    def build(cls, df: DataFrame, group: str, item: str, score: str, row_group_bytes: int = ROW_GROUP_BYTES) -> GroupIndex:
-        """Write the clustered files. Rows with null group or item or null or NaN score are left out."""
+    def build(cls, df: DataFrame, group: str, item: str, score: str, row_group_bytes: int = ROW_GROUP_BYTES, path: str | None = None) -> GroupIndex:
+        """Write the clustered files, below ``path`` for later use by ``open``.
+
+        Rows with null group or item or null or NaN score are left out.
+        """
         rows = df.select(F.col(group).cast("long").alias("grp"), F.col(item).cast("long").alias("item"), (F.col(score).cast("double") + F.lit(0.0)).alias("score"))
         rows = rows.where("grp is not null and item is not null and score is not null and not isnan(score)")
         plan = plan_loads(rows, "grp")
-        path = scratch(df.sparkSession, "topn")
+        path = path or scratch(df.sparkSession, "topn")
         (
             spread(rows, "grp", plan, F.xxhash64("item")).repartitionById(plan.bins, F.col("_bin"))
             .sortWithinPartitions("_bin", "grp", F.desc("score"), "item")
             .write.partitionBy("_bin").option("parquet.block.size", row_group_bytes)
             .option("parquet.block.size.row.check.min", 1000).option("parquet.page.size.row.check.min", 1000).parquet(f"{path}/data")
         )
+        fs, p = jvm_fs(df.sparkSession, f"{path}/plan.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps({"bins": plan.bins, "total": plan.total, "placed": list(plan.placed.items())}).encode()))
+        out.close()
         return cls(df.sparkSession, path, plan)
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> GroupIndex:
+        """An index built before: any number of queries share one clustering."""
+        plan = json.loads(spark.read.text(f"{path}/plan.json").first()[0])
+        return cls(spark, path, LoadPlan(plan["bins"], plan["total"], {k: v for k, v in plan["placed"]}))
+
     def top_n(self, wanted: DataFrame, group: str, n: str) -> DataFrame:
         """The ``n`` best items of each wanted group: ``grp, item, score, rank``.
 
@@ -111,9 +125,17 @@ def scan_bin(files: list, ask_grp: np.ndarray, ask_n: np.ndarray, stats: dict |
     """Read one bin's files, skipping row groups; yields (grp, item, score, rank, n) in pieces.
 
     ``ask_grp`` is sorted. Groups inside a row group are complete, as the file
-    is sorted by group; only those at its edges wait for other row groups.
+    is sorted by group; only those at its edges wait for other row groups, and
+    are merged when as many rows wait as are held, so in linear-logarithmic time.
     """
     held: dict[int, tuple] = {}
+    waiting: dict[int, list[tuple]] = {}
+
+    def merge(x: int) -> None:
+        all_ = [*([held[x]] if x in held else []), *waiting.pop(x)]
+        c = [np.concatenate(c) for c in zip(*all_, strict=True)]
+        held[x] = _best(c[0], c[1], c[2], c[4])
+
     for file in files:
         md = file.metadata
         names = [md.schema.column(j).name for j in range(md.num_columns)]
@@ -139,8 +161,11 @@ def scan_bin(files: list, ask_grp: np.ndarray, ask_n: np.ndarray, stats: dict |
             for x in {low, high}:
                 new = tuple(c[best[0] == x] for c in best)
                 if len(new[0]):
-                    both = tuple(np.concatenate(c) for c in zip(held[x], new, strict=True)) if x in held else new
-                    held[x] = _best(both[0], both[1], both[2], both[4])
+                    waiting.setdefault(x, []).append(new)
+                    if sum(len(p[0]) for p in waiting[x]) >= (len(held[x][0]) if x in held else 0):
+                        merge(x)
+    for x in list(waiting):
+        merge(x)
     yield from held.values()
 
 
@@ -171,12 +196,17 @@ def _reader(data: str, sidecar: str):
 def expand_requests(requests: DataFrame, request: str, group: str, n: str, lists: DataFrame, block: int = 256) -> DataFrame:
     """Deal the ranked lists out to requests: distinct ``request, item, rank``.
 
-    Joined by group and block of ranks, so neither a long list nor a group with
-    very many requests meets in one task. A request's blocks end with the list.
+    Joined by group and block of ranks, so a long list isn't met in one task,
+    and by fragment-replicate, so neither are the requests of a group that most
+    of them ask for. A request's blocks end with the list.
     """
-    ask = requests.select(F.col(request).alias("request"), F.col(group).cast("long").alias("grp"), F.col(n).cast("long").alias("_n")).where("grp is not null and _n >= 1").distinct()
+    ask = requests.select(F.col(request).alias("request"), F.col(group).cast("long").alias("grp"), F.col(n).cast("long").alias("_n")).where("grp is not null and _n >= 1")
+    ask = materialize(ask.groupBy("request", "grp").agg(F.max("_n").alias("_n")), "topn-requests")
     length = lists.groupBy("grp").agg(F.max("rank").alias("_len"))
-    ask = ask.join(length, "grp").withColumn("_n", F.least("_n", "_len")).drop("_len")
+    ask = fragment_replicate_join(ask, length, "grp").withColumn("_n", F.least("_n", "_len")).drop("_len")
     ask = ask.withColumn("_block", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("_n") - 1, F.lit(block)).cast("int"))))
-    ranked = lists.select("grp", "item", "rank", F.call_function("div", F.col("rank") - 1, F.lit(block)).cast("int").alias("_block"))
-    return ask.join(ranked, ["grp", "_block"]).where("rank <= _n").groupBy("request", "item").agg(F.min("rank").alias("rank"))
+    ask = materialize(ask.withColumn("_key", F.xxhash64("grp", "_block")), "topn-blocks")
+    at = F.call_function("div", F.col("rank") - 1, F.lit(block)).cast("int")
+    ranked = lists.select("item", "rank", F.col("grp").alias("_g"), at.alias("_b")).withColumn("_key", F.xxhash64("_g", "_b"))
+    both = fragment_replicate_join(ask, ranked, "_key").where("grp = _g and _block = _b and rank <= _n")
+    return both.groupBy("request", "item").agg(F.min("rank").alias("rank"))

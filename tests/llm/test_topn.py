@@ -76,3 +76,21 @@ def test_row_groups_are_skipped_but_ties_are_read(tmp_path, seed):
     want = brute(list(zip(grp.tolist(), item.tolist(), score.tolist(), strict=True)), {2: 130, 3: 4})
     assert found == {g: set(v) for g, v in want.items()}
     assert stats["skipped"] > 30
+
+
+def test_a_group_that_a_third_of_the_requests_ask_for(spark):
+    lists = spark.createDataFrame([(g, 1000 * g + r, 1.0 / r, r) for g in range(20) for r in range(1, 41)], "grp long, item long, score double, rank long")
+    asks = [(i, 3 if i % 3 == 0 else i % 20, 1 + i % 50) for i in range(3000)]
+    got = expand_requests(spark.createDataFrame([*asks, *asks[:50]], "q int, g int, n int"), "q", "g", "n", lists, block=8)
+    n = {r["request"]: r["n"] for r in got.groupBy("request").agg(F.count("*").alias("n")).collect()}
+    assert n == {i: min(n, 40) for i, _, n in asks}
+
+
+def test_an_index_is_built_once_and_opened_again(spark, tmp_path):
+    got = data(500)
+    GroupIndex.build(spark.createDataFrame(got, "g int, i int, s double"), "g", "i", "s", path=f"file://{tmp_path}/index")
+    index = GroupIndex.open(spark, f"file://{tmp_path}/index")
+    out = {}
+    for r in index.top_n(spark.createDataFrame([(5, 20), (3, 7)], "g int, n int"), "g", "n").collect():
+        out.setdefault(r["grp"], []).append((r["rank"], r["item"]))
+    assert {g: [i for _, i in sorted(v)] for g, v in out.items()} == brute(got, {5: 20, 3: 7})
