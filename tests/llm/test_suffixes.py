@@ -65,3 +65,29 @@ def test_equals_brute_force(spark, monkeypatch):
     assert leaks(df.limit(0), "doc_id", "text", pf, "p", "t", least).count() == 0
     assert leaks(df, "doc_id", "text", pf.limit(0), "p", "t", least).count() == 0
     assert rows(found, "doc_word")[0][0] >= 0
+
+
+def test_one_very_long_passage_needs_memory_once(spark):
+    """A passage of 60,000 words beside short ones: nothing is padded to its length."""
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    long = r.integers(1, 5000, 60_000)
+    short = [r.integers(1, 5000, 30) for _ in range(200)]
+    s = np.concatenate([long[10_000:50_000], [0], *[np.r_[p[3:], 0] for p in short]]).astype(np.int32)
+    start = np.r_[0, 40_001 + 28 * np.arange(200)]
+    order = suffix_array(s, 20).astype(np.int32)
+    tracemalloc.start()
+    got = {(int(a), int(b)): int(n) for w, d, ns, *_ in suffixes.matches(s, order, start, [long, *short], 20) for a, b, n in zip(w, d, ns, strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(0, 0): 40_000, **{(i + 1, i + 1): 27 for i in range(200)}}
+    assert peak < 120 << 20
+
+
+def test_an_index_is_built_once_and_searched_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "x c d e f y"), (3, None)], "d int, t string")
+    suffixes.SuffixIndex.build(df, "d", "t", 3).write(f"file://{tmp_path}/index")
+    index = suffixes.SuffixIndex.open(spark, f"file://{tmp_path}/index", 3)
+    find = lambda t: rows(index.search(spark.createDataFrame([(7, t)], "p int, t string"), "p", "t"), "doc_id", "n_words")
+    assert find("c d e f") == [(1, 4), (2, 4)] and find("b c d q") == [(1, 3)] and find("q q q") == []
