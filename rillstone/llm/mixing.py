@@ -4,8 +4,10 @@ A source's documents are to be used f times each on average; everyone gets the
 whole part of f as copies, the fraction becomes 0 or 1 by pivotal rounding:
 two documents exchange mass until one of them is integral, so that every
 document keeps its expectation and the source its number of tokens, but for
-one document in the end. Each task rounds what it holds and passes one open
-document per source up a reduction tree.
+one document in the end. Documents are dealt to buckets by a hash of the id;
+a bucket is rounded in order of id and passes one open document per source up a
+reduction tree. Buckets depend on the documents alone, so the same documents
+give the same mix however they are partitioned.
 """
 
 from __future__ import annotations
@@ -17,25 +19,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.session import materialize
+from rillstone.session import materialize, parallelism
 
 #: Vocabulary file of a public byte-level BPE.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern by which that BPE cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Tasks whose open documents one task of the next level takes.
-FAN_IN = 32
+#: Buckets whose open documents one bucket of the next level takes; documents in a first bucket, about.
+FAN_IN, BUCKET_DOCS = 32, 20_000
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
-    """The tokenizer of a rank file, once for each Python worker."""
+def encoding(file: bytes):
+    """The tokenizer of a rank file's content, once for each Python worker."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file.splitlines() if line.strip())}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -45,12 +46,17 @@ def canonical_source(source: Column) -> Column:
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, keep: list[Column], tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` and the columns ``keep``; null and empty texts have 0 tokens."""
+    """``doc_id, n_tokens`` and the columns ``keep``; null and empty texts have 0 tokens.
+
+    Only the driver reads the tokenizer's file (a megabyte or so) and sends it along.
+    """
+    with open(tokenizer, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("_text"))
     schema = rows.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(shared.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[f.name for f in schema])
@@ -101,30 +107,43 @@ def pivot(a: tuple, b: tuple, seed: int) -> tuple[tuple, tuple]:
 
 
 def _round(seed: int, last: bool):
-    """Round the units of a task; those open in the end stay open, unless this is the last level."""
+    """Round the units of each bucket; those open in the end stay open, unless this is the last level.
+
+    A task's rows come sorted by bucket and id.
+    """
+    names = ["doc_id", "source", "n_tokens", "p", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}
+        bucket = None
+
+        def rest() -> list[tuple]:
+            got = [(i, s, w, float(_uniform(i, 0, seed) < p) if last else p, bucket) for s, (i, w, p) in held.items()]
+            held.clear()
+            return got
+
         for b in batches:
             out: list[tuple] = []
-            for unit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                source, now = unit[1], (unit[0], unit[2], unit[3])
-                if 0 < now[2] < 1 and source in held:
-                    one, now = pivot(held.pop(source), now, seed)
-                    for x in (one, now):
+            for i, source, w, p, here in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if here != bucket:
+                    out += rest()
+                    bucket = here
+                now = (i, w, p)
+                if 0 < p < 1 and source in held:
+                    for x in pivot(held.pop(source), now, seed):
                         if 0 < x[2] < 1:
                             held[source] = x
                         else:
-                            out.append((x[0], source, x[1], x[2]))
-                elif 0 < now[2] < 1:
+                            out.append((x[0], source, x[1], x[2], here))
+                elif 0 < p < 1:
                     held[source] = now
                 else:
-                    out.append(unit)
+                    out.append((*now[:1], source, *now[1:], here))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["doc_id", "source", "n_tokens", "p"])
-        if held:
-            rest = [(i, s, w, float(_uniform(i, 0, seed) < p) if last else p) for s, (i, w, p) in held.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rest, strict=True)], names=["doc_id", "source", "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
+        left = rest()
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*left, strict=True)], names=names)
 
     return run
 
@@ -139,7 +158,8 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame
     many as the documents of the targeted sources. Documents of null or
     untargeted sources and without tokens are not used; a source without
     documents gets nothing, its share goes to the others in proportion. A null
-    share is 0, a null repeat 1. Shares are taken relative to their sum.
+    share is 0, a null repeat 1. Shares are taken relative to their sum. The
+    result depends on the rows and the seed only, not on their partitions.
     """
     spark = docs.sparkSession
     goal = targets.where("source is not null").groupBy(canonical_source(F.col("source")).alias("source")).agg(
@@ -156,17 +176,21 @@ def mix(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame
     f = F.create_map(*[x for s, u in uses.items() for x in (F.lit(s), F.lit(u))]) if uses else F.create_map().cast("map<string,double>")
     used = F.coalesce(F.try_element_at(f, F.col("source")), F.lit(0.0))
     units = sized.where("n_tokens > 0").select("doc_id", "source", "n_tokens", (used - F.floor(used)).alias("p"))
-    schema = units.schema
-    done, level = None, units
-    n = units.rdd.getNumPartitions()
+    docs_in = sum(n for _, n in totals.values())
+    n = max(1, -(-docs_in // BUCKET_DOCS))
+    bucket = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long")
+    done, level = None, units.withColumn("bucket", bucket(n))
+    schema = level.schema
     while True:
-        rounded = materialize(level.mapInArrow(_round(seed, n == 1), schema), "mix-level")
+        tasks = min(n, 4 * parallelism(spark))
+        dealt = level.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", "doc_id", "n_tokens")
+        rounded = materialize(dealt.mapInArrow(_round(seed, n == 1), schema), "mix-level")
         closed = rounded.where("p = 0 or p = 1")
         done = closed if done is None else done.unionByName(closed)
         if n == 1:
             break
         n = -(-n // FAN_IN)
-        level = rounded.where("p > 0 and p < 1").repartitionById(n, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+        level = rounded.where("p > 0 and p < 1").withColumn("bucket", bucket(n))
     copies = done.withColumn("copies", (F.floor(used) + F.col("p")).cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
     reached = copies.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"))
     facts = [(s, shares[s], totals.get(s, (0, 0))[1], tokens.get(s, 0)) for s in sorted(shares)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -45,7 +46,7 @@ def test_mix_reaches_its_tokens(spark, monkeypatch, fan_in):
     df = docs(spark).repartition(9)
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeat int")
     copies, shares = mix(df, "d", "t", "s", targets, 12_000)
-    enc = encoding(mixing.TOKENIZER)
+    enc = encoding(Path(mixing.TOKENIZER).read_bytes())
     text = {r["d"]: r["t"] for r in df.collect()}
     got = copies.collect()
     assert len({r["doc_id"] for r in got}) == len(got)
@@ -57,8 +58,14 @@ def test_mix_reaches_its_tokens(spark, monkeypatch, fan_in):
     for s, t in (("web_site", 0.5 / 0.9), ("book", 0.3 / 0.9)):
         assert out[s]["mix_tokens"] == pytest.approx(12_000 * t, abs=60)  # but for one document
     assert out["missing"]["mix_tokens"] == 0 and sum(r["reached_share"] for r in out.values()) == pytest.approx(1)
-    again = mix(df, "d", "t", "s", targets, 12_000)[0]
-    assert rows(again, "source")[:1] == rows(copies, "source")[:1]
+
+
+def test_same_mix_however_the_documents_are_partitioned(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 100)
+    targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeat int")
+    one, other = (rows(mix(docs(spark).repartition(n), "d", "t", "s", targets, 12_000)[0], "doc_id", "source", "n_tokens", "copies") for n in (2, 11))
+    assert one == other and len(one) > 50
+    assert rows(mix(docs(spark), "d", "t", "s", targets, 12_000, seed=12)[0], "doc_id", "source", "n_tokens", "copies") != one
 
 
 def test_empty(spark):
