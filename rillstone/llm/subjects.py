@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +68,11 @@ class SubjectModel:
         return np.stack([cos[:, self.owner == s].max(1) if (self.owner == s).any() else np.full(len(unit), -1.0) for s in range(len(self.subjects))], 1)
 
 
-def _compact(vocab: dict[str, int]):
+def _compact(shared):
     """Per document: number of terms of each sentence, and the terms, ascending within a sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
         for b in batches:
             lens, ids = [], []
             for t in b.column(2):
@@ -82,37 +84,69 @@ def _compact(vocab: dict[str, int]):
     return run
 
 
-def _vectors(b: pa.RecordBatch, weight: np.ndarray) -> np.ndarray:
-    """Weighted unit vectors (dense over the vocabulary) of the documents of a batch."""
+#: Terms in one block of a product, documents multiplied at once, and blocks that one task of the sum's next level takes.
+TERM_BLOCK, AT_ONCE, FAN_IN = 512, 2_000, 32
+
+
+def _entries(b: pa.RecordBatch, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, value) of the weighted unit vectors of a batch's documents, sorted by document and term."""
     ids = b.column(b.schema.get_field_index("ids"))
     n = np.diff(ids.offsets.to_numpy())
-    x = np.zeros((b.num_rows, len(weight)), np.float32)
-    np.add.at(x, (np.repeat(np.arange(b.num_rows), n), ids.flatten().to_numpy()), 1)
-    x = np.log1p(x) * weight
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    code, tf = np.unique(np.repeat(np.arange(b.num_rows), n) * len(weight) + ids.flatten().to_numpy(), return_counts=True)
+    doc, term = np.divmod(code, len(weight))
+    value = np.log1p(tf) * weight[term]
+    norm = np.sqrt(np.bincount(doc, value * value, b.num_rows))
+    return doc, term, value / np.maximum(norm[doc], 1e-12)
+
+
+def _sparse_times(b: pa.RecordBatch, weight: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
+    """Add X'X q to ``total``, X being the sparse rows of the batch."""
+    doc, term, value = _entries(b, weight)
+    if not len(doc):
+        return
+    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    xq = np.zeros((b.num_rows, q.shape[1]))
+    xq[doc[heads]] = np.add.reduceat(q[term] * value[:, None], heads, axis=0)
+    order = np.argsort(term, kind="stable")
+    term, doc, value = term[order], doc[order], value[order]
+    heads = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    total[term[heads]] += np.add.reduceat(xq[doc] * value[:, None], heads, axis=0)
 
 
 def _gram_times(rows: DataFrame, weight: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """X'X times a narrow matrix, X being the weighted documents; each task sends one block of that size."""
+    """X'X times a narrow matrix, X being the weighted documents.
+
+    Each task sends its product in blocks of ``TERM_BLOCK`` terms; equal blocks
+    are added up a tree of fan-in ``FAN_IN``, so no task takes more of them.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((weight, right))
+    schema = "block int, task int, sums binary"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, q = shared.value
         total = np.zeros(q.shape)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                x = _vectors(b.slice(i, 2000), w)
-                total += x.T @ (x @ q)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array([r.tobytes() for r in total])], names=["term", "row"])
+            for i in range(0, b.num_rows, AT_ONCE):
+                _sparse_times(b.slice(i, AT_ONCE), w, q, total)
+        for at in range(0, len(total), TERM_BLOCK):
+            cut = total[at : at + TERM_BLOCK]
+            if cut.any():
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([at // TERM_BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([cut.tobytes()])], names=["block", "task", "sums"])
 
     def add(t: pa.Table) -> pa.Table:
-        rows_ = np.stack([np.frombuffer(r, np.float64) for r in t.column("row").to_pylist()])
-        return pa.table({"term": pa.array(t.column("term").to_numpy()[:1]), "row": pa.array([rows_.sum(0).tobytes()])})
-
-    sums = rows.select("ids").mapInArrow(part, "term int, row binary").groupBy("term").applyInArrow(add, "term int, row binary")
+        sums = sum(np.frombuffer(r, np.float64) for r in t.sort_by("task").column("sums").to_pylist())
+        return pa.table({"block": t.column("block")[:1], "task": pa.array([t.column("task")[0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([sums.tobytes()])})
+
+    n = rows.rdd.getNumPartitions()
+    sums = rows.select("ids").mapInArrow(part, schema)
+    while n > 1:
+        sums = sums.groupBy("block", F.call_function("div", F.col("task"), F.lit(FAN_IN))).applyInArrow(add, schema)
+        n = -(-n // FAN_IN)
     out = np.zeros(right.shape)
-    for r in sums.collect():  # vocabulary x rank
-        out[r["term"]] = np.frombuffer(r["row"], np.float64)
+    for r in sums.collect():  # vocabulary x rank, the size of the result
+        at = r["block"] * TERM_BLOCK
+        out[at : at + TERM_BLOCK] = np.frombuffer(r["sums"], np.float64).reshape(-1, right.shape[1])
     return out
 
 
@@ -248,7 +282,7 @@ def document_subjects(docs: DataFrame, doc_id: str, text: str, lang: str | None,
     vocab, told = _weights(corpus, sample, len(names)) if names else ([], None)
     if not vocab:
         return spark.createDataFrame([], schema)
-    rows = materialize(corpus.mapInArrow(_compact({t: i for i, t in enumerate(vocab)}), "doc_id long, lang string, lens array<int>, ids array<int>"), "subjects-rows")
+    rows = materialize(corpus.mapInArrow(_compact(spark.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})), "doc_id long, lang string, lens array<int>, ids array<int>"), "subjects-rows")
     n = rows.count()
     df = np.zeros(len(vocab))
     for r in rows.select(F.explode(F.array_distinct("ids")).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each term

@@ -56,3 +56,23 @@ def test_empty(spark):
     lf = spark.createDataFrame([], "doc_id int, subject string")
     ask = lambda d, a: document_subjects(d, "doc_id", "text", None, a, "subject", lf, "doc_id", "subject").count()
     assert ask(df, areas) == ask(df.limit(0), areas) == ask(df, areas.limit(0)) == 0
+
+
+def test_sparse_products_equal_dense_ones(spark, monkeypatch):
+    import numpy as np
+
+    from rillstone.llm import subjects
+
+    monkeypatch.setattr(subjects, "TERM_BLOCK", 7)
+    monkeypatch.setattr(subjects, "FAN_IN", 2)
+    r = np.random.default_rng(2)
+    docs = [[int(x) for x in r.integers(0, 40, r.integers(0, 12))] for _ in range(90)]
+    weight, q = r.random(40), r.standard_normal((40, 5))
+    x = np.zeros((90, 40))
+    for i, d in enumerate(docs):
+        for t in d:
+            x[i, t] += 1
+    x = np.log1p(x) * weight
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    got = subjects._gram_times(spark.createDataFrame([(d,) for d in docs], "ids array<int>").repartition(5), weight, q)
+    assert np.allclose(got, x.T @ (x @ q))
