@@ -1,16 +1,20 @@
-"""Most similar vectors by score-aware quantisation.
+"""Most similar vectors by score-aware quantisation and four-bit table scans.
 
 Vectors are dealt to the cells of a coarse quantiser and stored there as
 four-bit codes of their residual. Codes are chosen for the score, not for the
 distance: the part of the error along the vector, which shifts the scores of
 just those queries that matter, weighs ``eta`` times as much as the part
-across it. A query scans the tables of its nearest cells; the best codes are
-reranked with the exact vectors, and so is every further code whose score plus
-the length of its error reaches the k-th of them. Within the probed cells the
-result is therefore exact.
-
-Fitted on a bounded sample (``FIT_ROWS``); every vector is indexed and every
-vector queries. Cells are cut into blocks on both sides, so a crowded cell is
+across it. A query brings its tables (the products with all centres, as whole
+numbers) to the codes of its nearest cells and adds table entries up, two codes
+a byte; neither vectors of the collection nor products with them are needed.
+Only codes whose score plus the length of their error may reach the floor and
+the k-th best are candidates, and only for these the exact vectors are fetched.
+Within the probed cells the result is therefore exact.
+
+Fitted on a bounded sample (``FIT_ROWS``); the probes are chosen by the exact
+neighbours, among all vectors, of at most ``PROBE_QUERIES`` of them. Every
+vector is indexed and every vector queries. Cells grow with the root of the
+number of vectors and are cut into blocks on both sides, so a crowded cell is
 spread over tasks; of exact copies only the k + 1 smallest ids are indexed,
 which is all that any top k can need.
 """
@@ -27,21 +31,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillstone.operators.balance import fragment_replicate_join
-from rillstone.session import materialize
+from rillstone.session import materialize, small
 
-#: Vectors that the quantisers are fitted on, at most.
-FIT_ROWS = 32_768
-#: Cells of the coarse quantiser, at most.
-MAX_CELLS = 2_048
+#: Vectors that the quantisers are fitted on, at most, and of these for each coarse cell at least.
+FIT_ROWS, CELL_ROWS = 32_768, 16
+#: Vectors whose exact neighbours among all vectors the probes are chosen by, at most; pairs that decide, at least.
+PROBE_QUERIES, PROBE_PAIRS = 1_000, 200
 #: Vectors in a block of a cell, and queries in a block against it.
 DB_BLOCK, QUERY_BLOCK = 4_096, 16_384
 #: Dimensions of a subspace; 16 centres each, so four bits.
 SUB = 2
 CENTRES = 16
-#: Best codes of a cell that are reranked for each query before the bound of the rest is known.
-RERANK = 128
-#: Exact scores of single pairs computed at once.
-PAIRS = 131_072
+#: Candidates of one block that are named one by one; of more, the query gets all of the block exactly.
+NAMED = 128
+#: Queries scanned at once, and exact scores of single pairs computed at once.
+SCAN_QUERIES, PAIRS = 128, 131_072
+#: Rounding of a unit query to half precision, and of single-precision sums: no score is off by more.
+HALF = 6e-4
 
 
 @dataclass(frozen=True)
@@ -100,23 +106,45 @@ def parallel_weight(dim: int, threshold: float) -> float:
     return max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
 
 
-def _spherical_means(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def _means(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Lloyd's algorithm from random rows."""
     c = x[rng.permutation(len(x))[:n]].copy()
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        half = (c * c).sum(1) / 2
+        near = np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(1) for i in range(0, len(x), 4096)])
         order = np.argsort(near, kind="stable")
         starts = np.searchsorted(near[order], np.arange(n))
         full = np.flatnonzero(np.diff(np.r_[starts, len(x)]) > 0)
         sums = np.add.reduceat(x[order], starts[full], axis=0)
-        c[full] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        c[full] = sums / np.diff(np.r_[starts, len(x)])[full, None]
     return c
 
 
+def _unit_rows(c: np.ndarray) -> np.ndarray:
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+
+
+def coarse_cells(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """About ``n`` unit centres, whatever the size of the sample ``x``.
+
+    More than the sample can carry are made of two levels: each first centre
+    plus each of the residual centres that all of them share.
+    """
+    first = max(1, min(n, len(x) // CELL_ROWS))
+    cells = _unit_rows(_means(x, first, rounds, rng))
+    second = -(-n // first)
+    if second > 1 and first > 1:
+        own = np.concatenate([(x[i : i + 4096] @ cells.T).argmax(1) for i in range(0, len(x), 4096)])
+        rest = _means(x - cells[own], min(second, first), rounds, rng)
+        cells = _unit_rows((cells[:, None] + rest[None]).reshape(-1, x.shape[1]))
+    return cells.astype(np.float32)
+
+
 def fit(x: np.ndarray, n_cells: int, threshold: float = 0.3, rounds: int = 8, seed: int = 5) -> Quantiser:
-    """Fit cells and codebooks on unit vectors (float32)."""
+    """Fit cells and codebooks on unit vectors (float32, of even dimension)."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    cells = _spherical_means(x, max(1, min(n_cells, len(x))), rounds, rng).astype(np.float32)
+    cells = coarse_cells(x, n_cells, rounds, rng)
     eta = parallel_weight(dim, threshold)
     q = Quantiser(cells, np.zeros((dim // SUB, CENTRES, SUB), np.float32), eta)
     cell = np.concatenate([q.assign(x[i : i + 4096], 1)[:, 0] for i in range(0, len(x), 4096)])
@@ -141,29 +169,85 @@ def fit(x: np.ndarray, n_cells: int, threshold: float = 0.3, rounds: int = 8, se
     return Quantiser(cells, books.astype(np.float32), eta)
 
 
-def choose_probes(q: Quantiser, x: np.ndarray, k: int, floor: float, target: float) -> int:
-    """Cells to probe so that ``target`` of the true neighbours within the sample lie in a probed cell.
+def tables(q: Quantiser, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Tables of a block of queries: (byte, 256, query) as whole numbers, and what they stand for.
+
+    A code's score is about centre + ``base`` + ``step`` * (sum of its bytes'
+    entries), off by no more than ``slack`` steps; 16-bit sums never overflow.
+    """
+    n = q.books.shape[0]
+    t = np.einsum("scd,qsd->scq", q.books, y.reshape(len(y), n, SUB), optimize=True)
+    low = t.min(1)
+    levels = 65_000 // n
+    step = np.maximum((t.max(1) - low).max(0) / levels, 1e-12)
+    whole = np.rint((t - low[:, None]) / step).astype(np.uint16)
+    if n % 2:
+        whole = np.concatenate([whole, np.zeros((1, *whole.shape[1:]), np.uint16)])
+    both = whole[1::2, :, None] + whole[::2, None]  # high nibble, low nibble
+    return both.reshape(len(both), CENTRES * CENTRES, len(y)), low.sum(0), step, n / 2 + 1
+
+
+def scan_codes(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sums of the table entries of packed codes: (code, query)."""
+    total = table[0][codes[:, 0]]
+    part = np.empty_like(total)
+    for b in range(1, len(table)):
+        np.take(table[b], codes[:, b], axis=0, out=part)
+        total += part
+    return total
+
+
+def _nearest(y: np.ndarray, y_id: np.ndarray, q: Quantiser, k: int):
+    """The k nearest to a few queries among a task's vectors: ``query, near, cos, cell``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64))
+        least = np.full(len(y), -2.0)
+        for b in batches:
+            for i in range(0, b.num_rows, 8192):
+                part = b.slice(i, 8192)
+                ids, x = part.column(0).to_numpy(), _padded(_unit(_matrix(part.column(1), np.float32)))
+                s = y @ x.T
+                s[y_id[:, None] == ids[None, :]] = -9
+                row, col = np.nonzero(s > least[:, None])
+                own = np.zeros(0, np.int64)
+                if len(row):
+                    hit, back = np.unique(col, return_inverse=True)
+                    own = q.assign(x[hit].astype(np.float32), 1)[:, 0][back]
+                both = [np.concatenate(c) for c in zip(kept, (row, ids[col], s[row, col], own), strict=True)]
+                order = np.lexsort((both[1], -both[2], both[0]))
+                row = both[0][order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                order = order[rank < k]
+                kept = tuple(c[order] for c in both)
+                full, n = np.unique(kept[0], return_counts=True)
+                ends = np.cumsum(n) - 1
+                least[full[n == k]] = kept[2][ends[n == k]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query", "near", "cos", "cell"])
+
+    return run
+
+
+def choose_probes(q: Quantiser, index: DataFrame, asks: pa.Table, k: int, floor: float, target: float) -> int:
+    """Cells to probe so that ``target`` of the asking vectors' true neighbours lie in a probed cell.
 
-    Without a floor 2,000 vectors of the sample ask for their k nearest; with
-    one all do, as close pairs are few. With under 30 pairs to go by: 8.
+    Their k nearest among all vectors are found by brute force. The pairs from
+    ``floor`` decide, or the ``PROBE_PAIRS`` closest if those are fewer.
     """
-    own = np.concatenate([q.assign(x[i : i + 4096], 1)[:, 0] for i in range(0, len(x), 4096)])
-    ranks = []
-    for i in range(0, len(x) if floor > -1 else min(2000, len(x)), 500):
-        s = x[i : i + 500] @ x.T
-        at = np.arange(len(s))
-        s[at, i + at] = -9
-        if floor > -1:
-            row, col = np.nonzero(s >= floor)
-        else:
-            col = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-            row, col = np.repeat(at, col.shape[1]), col.ravel()
-        score = x[i : i + 500] @ q.cells.T
-        ranks.append((score[row] > score[row, own[col]][:, None]).sum(1))
-    ranks = np.concatenate(ranks)
-    if len(ranks) < 30:
-        return min(8, len(q.cells))
-    return int(max(min(4, len(q.cells)), np.quantile(ranks, target, method="higher") + 1))
+    y, y_id = _padded(_unit(_matrix(asks.column("vec"), np.float32))), asks.column("id").to_numpy()
+    shared = index.sparkSession.sparkContext.broadcast((y, y_id, q, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _nearest(*shared.value)(batches)
+
+    found = index.select("id", "vec").mapInArrow(run, "query long, near long, cos double, cell long")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "near"))
+    got = found.withColumn("r", best).where(F.col("r") <= k).select("query", "cos", "cell").toArrow()  # PROBE_QUERIES x k rows at most
+    row, cos, own = (got.column(c).to_numpy() for c in ("query", "cos", "cell"))
+    pick = np.argsort(-cos, kind="stable")[: max(int((cos >= floor).sum()), PROBE_PAIRS)]
+    score = y.astype(np.float32) @ q.cells.T
+    ranks = (score[row[pick]] > score[row[pick], own[pick]][:, None]).sum(1)
+    return int(np.quantile(ranks, target, method="higher")) + 1 if len(ranks) else 1
 
 
 def _usable(id_name: str, vec_name: str, dim: int):
@@ -221,63 +305,128 @@ def usable_vectors(df: DataFrame, id: str, vector: str, dim: int, newest: str |
     return rows.groupBy("id").agg(F.max(F.struct(F.coalesce("at", F.lit("1000-01-01").cast("timestamp")).alias("at"), "vec")).alias("r")).select("id", "r.vec")
 
 
+def _padded(x: np.ndarray) -> np.ndarray:
+    """A zero dimension more if their number is odd."""
+    return np.pad(x, ((0, 0), (0, x.shape[1] % SUB))) if x.shape[1] % SUB else x
+
+
 def _deal(q: Quantiser, probes: int):
-    """Cells and codes of each vector."""
+    """Probed cells (the first is its own), code, length of the code's error, and half-precision unit vector of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(_matrix(b.column(1), np.float32)).astype(np.float32)
-            cells = q.assign(x, probes)
-            flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * cells.shape[1]).astype(np.int32)), pa.array(cells.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat, _binary(pack(q.encode(x, cells[:, 0])))], names=["id", "vec", "cells", "codes"])
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                exact = _padded(_unit(_matrix(part.column(1), np.float32)))
+                x = exact.astype(np.float32)
+                cells = q.assign(x, probes)
+                codes = q.encode(x, cells[:, 0])
+                error = np.linalg.norm(exact - q.decode(codes, cells[:, 0]), axis=1).astype(np.float32)
+                flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * cells.shape[1]).astype(np.int32)), pa.array(cells.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, _binary(pack(codes)), pa.array(error), _binary(x.astype(np.float16))], names=["id", "vec", "cells", "codes", "error", "half"])
 
     return run
 
 
+def _lists(row: np.ndarray, value: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """Values, sorted by row, as one list for each of ``n`` rows."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32)), pa.array(value, kind))
+
+
+_CANDIDATES = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("d", pa.int64()), ("near", pa.list_(pa.int64())), ("most", pa.list_(pa.float32())), ("sure", pa.list_(pa.float32()))])
+_CANDIDATES_SQL = "id long, cell int, d long, near array<bigint>, most array<float>, sure array<float>"
+
+
 def _scan(q: Quantiser, k: int, floor: float):
-    """Scan one block of a cell for one block of queries and rerank the best."""
-    schema = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cos", pa.float64())])
+    """Scan the codes of one block of a cell for one block of queries.
+
+    A row for each query that has candidates here: ``near`` with the most each
+    can score, or null and the most of all if all of the block are to be
+    scored; ``sure`` is what its k best here score at least.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         is_db = rows.column("is_db").to_numpy().astype(bool)
-        cell = rows.column("cell")[0].as_py()
+        cell, d = rows.column("cell")[0].as_py(), rows.column("d")[0].as_py()
         db, ask = rows.filter(pa.array(is_db)), rows.filter(pa.array(~is_db))
         if not db.num_rows or not ask.num_rows:
-            return schema.empty_table()
+            return _CANDIDATES.empty_table()
         db_id, ask_id = (t.column("id").to_numpy() for t in (db, ask))
-        x, codes = _unit(_matrix(db.column("vec"), np.float32)), _matrix(db.column("codes"), np.uint8)
-        table = q.decode(unpack(codes, q.books.shape[0]), np.full(len(x), cell))
-        error = np.linalg.norm(x - table, axis=1).astype(np.float32) + np.float32(1e-5)  # no score of a unit query is off by more
-        y = _unit(_matrix(ask.column("vec"), np.float32))
+        by_id = np.argsort(db_id)
+        db_id, codes, error = db_id[by_id], _matrix(db.column("data"), np.uint8)[by_id], db.column("error").to_numpy()[by_id]
+        y = _matrix(ask.column("data"), np.float16).astype(np.float32)
+        centre = q.cells[cell]
+        place = np.minimum(np.searchsorted(db_id, ask_id), len(db_id) - 1)
         got = []
-        for i in range(0, len(y), 1024):
-            part, own = y[i : i + 1024], ask_id[i : i + 1024, None] == db_id[None, :]
-            most = part.astype(np.float32) @ table.T + error
-            most[own] = -9
-            least = np.full(len(part), max(floor, -2.0))
-            wide = np.flatnonzero((most >= least[:, None]).sum(1) > RERANK)
-            if len(wide) and k <= RERANK:
-                # the k-th exact score among the best codes: what can't reach it is no neighbour
-                best = np.argpartition(-most[wide], RERANK - 1, axis=1)[:, :RERANK]
-                exact = np.einsum("qd,qrd->qr", part[wide], x[best])
-                exact[np.take_along_axis(own[wide], best, 1)] = -9
-                least[wide] = np.maximum(least[wide], -np.partition(-exact, k - 1, axis=1)[:, k - 1])
-            hit = most >= least[:, None] - 1e-9
-            full = np.flatnonzero(hit.sum(1) > RERANK)  # still too many: all exact scores of the block
-            hit[full] &= part[full] @ x.T >= least[full, None] - 1e-9
-            row, col = np.nonzero(hit)
-            cos = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", part[row[j : j + PAIRS]], x[col[j : j + PAIRS]]) for j in range(0, len(row), PAIRS)]])
-            ok = cos >= floor
-            row, col, cos = row[ok] + i, col[ok], cos[ok]
-            order = np.lexsort((db_id[col], -cos, row))
-            row, col, cos = row[order], col[order], cos[order]
-            start = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1] if len(row) else np.zeros(0, int)
-            rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
-            keep = rank < k
-            got.append((ask_id[row[keep]], db_id[col[keep]], cos[keep]))
-        return pa.table([np.concatenate(c) for c in zip(*got, strict=True)], schema=schema)
+        for i in range(0, len(y), SCAN_QUERIES):
+            part, at = y[i : i + SCAN_QUERIES], place[i : i + SCAN_QUERIES]
+            table, base, step, slack = tables(q, part)
+            score = (scan_codes(table, codes) * step.astype(np.float32)).T + (base + part @ centre).astype(np.float32)[:, None]
+            own = np.flatnonzero(db_id[at] == ask_id[i : i + SCAN_QUERIES])
+            score[own, at[own]] = -9
+            off = (slack * step + HALF).astype(np.float32)[:, None]
+            most = score + error + off
+            least = np.full(len(part), np.float32(max(floor, -2.0)))
+            wide = np.arange(len(part)) if floor <= -2 else np.flatnonzero((most >= least[:, None]).sum(1) > NAMED)
+            sure = np.full((len(part), k), np.float32(-9))
+            if len(wide):
+                low = score[wide] - error - off[wide]
+                n = min(k, low.shape[1])
+                sure[wide, :n] = -np.partition(-low, n - 1, axis=1)[:, :n]
+                if n == k:
+                    least[wide] = np.maximum(least[wide], sure[wide].min(1))
+            hit = most >= least[:, None]
+            count = hit.sum(1)
+            all_ = count > NAMED
+            row, col = np.nonzero(hit & ~all_[:, None])
+            asks = np.flatnonzero(count)
+            line = np.searchsorted(asks, row)
+            near = _lists(line, db_id[col], len(asks), pa.int64())
+            line, value = np.r_[line, np.searchsorted(asks, np.flatnonzero(all_))], np.r_[most[row, col], most[all_].max(1, initial=-9)]
+            order = np.argsort(line, kind="stable")
+            high = _lists(line[order], value[order], len(asks), pa.float32())
+            near = pa.ListArray.from_arrays(near.offsets, near.values, mask=pa.array(all_[asks]))
+            own_row, own_col = np.nonzero(sure[asks] > -3)
+            got.append(pa.table([pa.array(ask_id[i + asks]), pa.array(np.full(len(asks), cell, np.int32)), pa.array(np.full(len(asks), d)), near, high, _lists(own_row, sure[asks][own_row, own_col], len(asks), pa.float32())], schema=_CANDIDATES))
+        return pa.concat_tables(got)
+
+    return run
+
+
+def _rerank(k: int, floor: float):
+    """Exact scores of the candidates of one block: the k best of each query."""
+    schema = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cos", pa.float64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        is_db = rows.column("is_db").to_numpy().astype(bool)
+        db, ask = rows.filter(pa.array(is_db)), rows.filter(pa.array(~is_db)).combine_chunks()
+        if not db.num_rows or not ask.num_rows:
+            return schema.empty_table()
+        db_id, ask_id = (t.column("id").to_numpy() for t in (db, ask))
+        order = np.argsort(db_id)
+        db_id, x = db_id[order], _unit(_matrix(db.column("data"), np.float32))[order]
+        y = _unit(_matrix(ask.column("data"), np.float32))
+        near = ask.column("near").combine_chunks()
+        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+        n = near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, col = np.repeat(np.arange(len(y)), n), np.searchsorted(db_id, near.flatten().to_numpy())
+        cos = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", y[row[j : j + PAIRS]], x[col[j : j + PAIRS]]) for j in range(0, len(row), PAIRS)]])
+        got = [(row, col, cos)]
+        every = np.flatnonzero(near.is_null().to_numpy(zero_copy_only=False))
+        for j in range(0, len(every), 512):
+            s = y[every[j : j + 512]] @ x.T
+            s[ask_id[every[j : j + 512], None] == db_id[None, :]] = -9
+            n = min(k, s.shape[1])
+            least = np.maximum(-np.partition(-s, n - 1, axis=1)[:, n - 1], max(floor, -2.0)) - 1e-12
+            r, c = np.nonzero(s >= least[:, None])
+            got.append((every[j + r], c, s[r, c]))
+        row, col, cos = (np.concatenate(c) for c in zip(*got, strict=True))
+        ok = cos >= max(floor, -2.0)
+        row, col, cos = row[ok], col[ok], cos[ok]
+        order = np.lexsort((db_id[col], -cos, row))
+        row, col, cos = row[order], col[order], cos[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.table([ask_id[row[keep]], db_id[col[keep]], cos[keep]], schema=schema)
 
     return run
 
@@ -288,9 +437,8 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     Neighbours below ``floor`` are left out, an id is not its own neighbour,
     equal cosines go to the smaller id. Approximate: a neighbour in none of the
     ``probes`` nearest cells is missed (by default as many as reach 96 % of the
-    neighbours within the fitting sample, 99 % with a floor); ``recall``
-    measures how many are.
-    ``dim`` must be even. No usable vectors give no rows.
+    true neighbours of a sample of queries among all vectors, 99 % with a
+    floor); ``recall`` measures how many are. No usable vectors give no rows.
     """
     spark = df.sparkSession
     all_rows = materialize(usable_vectors(df, id, vector, dim, newest).withColumn("h", F.struct(F.xxhash64("vec").alias("a"), F.hash("vec").alias("b"))), "vectors")
@@ -301,27 +449,41 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
         return spark.createDataFrame([], "id long, near long, cos double")
     # the hash bound leaves about twice the sample, however many rows there are
     some = index.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * FIT_ROWS / n)))
-    sample = some.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow()
-    x = _unit(_matrix(sample.column(0), np.float32)).astype(np.float32)
-    q = fit(x, cells or max(1, min(MAX_CELLS, int(n**0.5))))
-    probes = probes or choose_probes(q, x, k, floor, 0.99 if floor > -1 else 0.96)
-    shared = spark.sparkContext.broadcast(q)  # cells and books: MAX_CELLS x dim floats at most
-    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary"), "vectors-dealt")
-    sizes = dealt.select(F.get("cells", F.lit(0)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_db"))
+    sample = some.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id", "vec").toArrow()
+    q = fit(_padded(_unit(_matrix(sample.column("vec"), np.float32))).astype(np.float32), cells or max(1, round(n**0.5)))
+    probes = probes or choose_probes(q, index, sample.slice(0, PROBE_QUERIES), k, floor, 0.99 if floor > -1 else 0.96)
+    shared = spark.sparkContext.broadcast(q)  # about sqrt(n) x dim numbers
+    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary, error float, half binary"), "vectors-dealt")
+    own = F.get("cells", F.lit(0))
+    sizes = dealt.select(own.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_db"))
     asks = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_ask"))
-    blocks = sizes.join(asks, "cell").select(
-        "cell",
-        F.ceil(F.col("n_db") / DB_BLOCK).cast("int").alias("db_blocks"),
-        F.ceil(F.col("n_ask") / QUERY_BLOCK).cast("int").alias("q_blocks"),
-    )  # a row for each cell, MAX_CELLS at most
+    blocks = materialize(sizes.join(asks, "cell").select("cell", F.ceil(F.col("n_db") / DB_BLOCK).cast("int").alias("db_blocks"), F.ceil(F.col("n_ask") / QUERY_BLOCK).cast("int").alias("q_blocks")), "vectors-blocks")
+    few = small(blocks, len(q.cells))  # a row for each cell
     turn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    db = dealt.withColumn("cell", F.get("cells", F.lit(0))).join(F.broadcast(blocks), "cell")
-    db = db.select("cell", F.pmod(turn, F.col("db_blocks").cast("long")).alias("d"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", "vec", "codes")
-    ask = dealt.select(F.explode("cells").alias("cell"), "id", "vec").join(F.broadcast(blocks), "cell")
-    ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", "vec", F.lit(None).cast("binary").alias("codes"))
-    found = db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, k, floor), "id long, near long, cos double")
+    block = F.pmod(turn, F.col("db_blocks").cast("long"))
+    none = F.lit(None).cast("float").alias("error")
+    db = dealt.withColumn("cell", own).join(few, "cell")
+    db = db.select("cell", block.alias("d"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", F.col("codes").alias("data"), "error")
+    ask = dealt.select(F.explode("cells").alias("cell"), "id", "half").join(few, "cell")
+    ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", F.col("half").alias("data"), none)
+    found = materialize(db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, k, floor), _CANDIDATES_SQL), "vectors-candidates")
+    # what a query's k best score at least, over all its blocks: candidates that can't reach it are dropped
+    sure = found.select("id", F.explode("sure").alias("s"))
+    kth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s")))
+    bound = sure.withColumn("r", kth).where(F.col("r") == k).select("id", F.col("s").alias("bound"))
+    exact = dealt.select("id", F.col("vec").alias("data"))
+    wanted = found.drop("sure").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-9.0)))
+    pairs = F.filter(F.arrays_zip("near", "most"), lambda p: p["most"] >= F.col("bound"))
+    wanted = wanted.where(F.array_max("most") >= F.col("bound")).select("id", "cell", "d", F.when(F.col("near").isNotNull(), F.transform(pairs, lambda p: p["near"])).alias("near"))
+    wanted = materialize(wanted.join(exact, "id"), "vectors-wanted")
+    parts = wanted.groupBy("cell", "d").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    lists = F.lit(None).cast("array<bigint>").alias("near")
+    fetched = dealt.withColumn("cell", own).join(few, "cell").select("cell", block.alias("d"), "id", F.col("vec").alias("data")).join(parts, ["cell", "d"])
+    fetched = fetched.select("cell", "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", "data", lists)
+    asked = wanted.join(parts, ["cell", "d"]).select("cell", "d", F.pmod(turn, F.col("parts").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", "data", "near")
+    scored = fetched.unionByName(asked).groupBy("cell", "d", "u").applyInArrow(_rerank(k, floor), "id long, near long, cos double")
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "near"))
-    near = found.withColumn("r", best).where(F.col("r") <= k).drop("r")
+    near = scored.withColumn("r", best).where(F.col("r") <= k).drop("r")
     # further exact copies: their k nearest are the k smallest ids among the copies
     rest = all_rows.select("id", F.xxhash64("vec").alias("h"), F.hash("vec").alias("h2")).join(index.select("id"), "id", "left_anti")
     if not rest.isEmpty():

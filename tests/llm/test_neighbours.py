@@ -79,4 +79,23 @@ def test_codes_round_trip_and_score_error():
     plain = nb.Quantiser(q.cells, q.books, 1.0)
     along = lambda z: np.abs(((x - z.decode(z.encode(x, cell), cell)) * x).sum(1)).mean()
     assert along(q) < along(plain)
+    rounded = x.astype(np.float16).astype(np.float32)[:300]
+    table, base, step, slack = nb.tables(q, rounded)
+    score = nb.scan_codes(table, nb.pack(codes)) * step + base + (q.cells[cell] @ rounded.T)
+    assert np.abs(score - q.decode(codes, cell) @ x[:300].T).max() < (slack * step).max() + nb.HALF * 1.5
     assert nb.parallel_weight(48, 0.2) == pytest.approx(47 * 0.04 / 0.96)
+
+
+def test_cells_grow_beyond_what_the_sample_can_carry():
+    x = nb._unit(vectors(640, 8)).astype(np.float32)
+    cells = nb.coarse_cells(x, 400, 4, np.random.default_rng(1))
+    assert len(cells) == 40 * 10 and np.allclose(np.linalg.norm(cells, axis=1), 1, atol=1e-5)
+    few = nb.coarse_cells(x, 40, 4, np.random.default_rng(1))
+    assert (x @ cells.T).max(1).mean() > (x @ few.T).max(1).mean()
+
+
+def test_odd_dimensions(spark):
+    x = vectors(600, 7)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "u int, v array<float>")
+    row = recall(neighbours(df, "u", "v", 7, 5), exact_neighbours(df, "u", "v", 7, 5)).first()
+    assert row["n_exact"] == 3000 and row["recall"] >= 0.9
