@@ -14,12 +14,14 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillstone.session import fresh, parallelism
 
+#: Rows of one bin, about, where the number of bins is free.
+BIN_ROWS = 4_000_000
 #: Keys with at least this share of a task's capacity are placed one by one.
 PLACED_SHARE = 0.125
 
@@ -55,21 +57,20 @@ def pack(loads: list[tuple[object, float]], total: float, bins: int) -> LoadPlan
 def plan_loads(df: DataFrame, key: str, bins: int | None = None, fraction: float = 0.1, seed: int = 7) -> LoadPlan:
     """Estimate the load of each key on a sample and pack the loaded ones.
 
-    ``fraction`` of the rows is counted by key with map-side combining. Only
-    keys that would fill an eighth of a task come to the driver: 8 x bins at
-    most, as their loads sum to no more than the total.
+    ``fraction`` of the rows is counted by key with map-side combining. Unless
+    given, there are as many ``bins`` as reduce tasks, or more if a bin would
+    have more than ``BIN_ROWS`` rows. Only keys that would fill an eighth of a
+    task come to the driver: 8 x bins at most, as their loads sum to no more
+    than the total.
     """
-    bins = bins or parallelism(df.sparkSession)
-    seen = Observation()
-    counts = (
-        df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).sample(fraction, seed)
-        .groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("total"))
-    )
-    most = math.ceil(bins / PLACED_SHARE)
-    top = counts.orderBy(F.desc("_n"), "_key").limit(most).collect()
-    total = float(seen.get["total"] or 0)
-    least = max(PLACED_SHARE * total / bins, 2.0)
-    return pack([(r["_key"], float(r["_n"])) for r in top if r["_n"] >= least], total, bins)
+    counts = df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).sample(fraction, seed).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("double").alias("_total"))  # one row, from the same exchange
+    n_bins = F.lit(float(bins)) if bins else F.greatest(F.lit(float(parallelism(df.sparkSession))), F.ceil(F.col("_total") / fraction / BIN_ROWS).cast("double"))
+    loaded = F.col("_n") >= F.greatest(F.lit(PLACED_SHARE) * F.col("_total") / F.col("_bins"), F.lit(2.0))
+    top = F.broadcast(total.withColumn("_bins", n_bins)).join(counts, loaded, "left").collect()  # the row of the total stays if no key is loaded
+    rows, wide = float(top[0]["_total"]), int(top[0]["_bins"])
+    loads = sorted(((r["_key"], float(r["_n"])) for r in top if r["_n"] is not None), key=lambda x: (-x[1], str(x[0])))
+    return pack(loads, rows, wide)
 
 
 def _placed(df: DataFrame, key: str, plan: LoadPlan) -> tuple[DataFrame, str, str]:
@@ -125,8 +126,9 @@ def key_stats(df: DataFrame, key: str, member: str | None = None, value: str | N
 
     Result: ``key, n_rows, n_members, mean_value``. Split keys are sharded by
     ``member``, so each shard counts its own distinct members exactly and the
-    shards' counts add up; rows without member go to a shard by row. One
-    shuffle carries rows; the second only one row for each key and bin.
+    shards' counts add up. One shuffle carries rows; the second only one row for
+    each key and bin. Rows without member need no distinct count and are
+    combined on the map side instead.
 
     Null keys have no group; null members and values don't count (a key with
     none has 0 and null). Repeated rows all count. An empty table gives none.
@@ -134,26 +136,24 @@ def key_stats(df: DataFrame, key: str, member: str | None = None, value: str | N
     """
     if key in ("n_rows", "n_members", "mean_value", "_bin", "_member", "_value"):
         raise ValueError(f"rename the key column {key}")
-    plan = plan or plan_loads(df, key)
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).alias(key),
         (F.col(member) if member else F.lit(None).cast("int")).alias("_member"),
         (F.col(value) if value else F.lit(None)).cast("double").alias("_value"),
     )
-    by = F.when(F.col("_member").isNotNull(), F.xxhash64("_member")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
-    pairs = (
-        spread(rows, key, plan, by).repartitionById(plan.bins, F.col("_bin"))
-        .groupBy("_bin", key, "_member")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_value").alias("_sum"), F.count("_value").alias("_valued"))
-    )
-    shards = pairs.groupBy("_bin", key).agg(
-        F.sum("_n").alias("_n"), F.count("_member").alias("_members"), F.sum("_sum").alias("_sum"), F.sum("_valued").alias("_valued")
-    )
-    out = shards.groupBy(key).agg(
-        F.sum("_n").alias("n_rows"),
-        F.sum("_members").alias("n_members"),
-        F.try_divide(F.sum("_sum"), F.sum("_valued")).alias("mean_value"),
-    )
+    sums = [F.sum("_value").alias("_sum"), F.count("_value").alias("_valued")]
+    parts = rows.where("_member is null").groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("long").alias("_members"), *sums)
+    if member:
+        plan = plan or plan_loads(df, key)
+        pairs = (
+            spread(rows.where("_member is not null"), key, plan, F.xxhash64("_member")).repartitionById(plan.bins, F.col("_bin"))
+            .groupBy("_bin", key, "_member").agg(F.count(F.lit(1)).alias("_n"), *sums)
+        )
+        shards = pairs.groupBy("_bin", key).agg(
+            F.sum("_n").alias("_n"), F.count("_member").alias("_members"), F.sum("_sum").alias("_sum"), F.sum("_valued").alias("_valued")
+        )
+        parts = shards.drop("_bin").unionByName(parts)
+    out = parts.groupBy(key).agg(F.sum("_n").alias("n_rows"), F.sum("_members").alias("n_members"), F.try_divide(F.sum("_sum"), F.sum("_valued")).alias("mean_value"))
     if not member:
         out = out.withColumn("n_members", F.lit(None).cast("long"))
     return out

@@ -10,7 +10,6 @@ fragments and sessions, whose number per user is bounded by the time range.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rillstone.operators.manifest import Manifest
 from rillstone.session import jvm_fs, parallelism
 
 SESSION_GAP = 1800
+#: Seconds of start times that one file of the table holds.
+SLICE_SECONDS = 30 * 86_400
 
 
 def whole_seconds(time: Column) -> Column:
@@ -73,11 +75,15 @@ def sessions(df: DataFrame, user: str, time: str, gap: int = SESSION_GAP) -> Dat
 class SessionTable:
     """Stored sessions that take in batches, late rows included.
 
-    Files lie in ``path/data/<version>/bucket=<b>``, by a hash of the user. A
-    version is a manifest naming the folders that hold each bucket; writing it
-    under a new name commits the batch at once, so readers see all of a batch
-    or nothing, and a job that dies leaves the last version. A batch rewrites
-    only buckets in which a row changes.
+    Files lie in ``path/data/<version>/slice=<s>/bucket=<b>``: a session is in
+    the slice of ``slice_sec`` seconds in which it starts, and in a bucket by a
+    hash of the user. A version is a manifest that names the folder of each
+    slice and bucket with the first start and last end in it; writing it under
+    a new name commits the batch at once, so readers see all of a batch or
+    nothing, and a job that dies leaves the last version. A batch reads and
+    rewrites only the slices and buckets within the gap of its own sessions:
+    a day's rows don't touch older slices, however long the table is. Files
+    that a version replaced are deleted with the version after it.
     """
 
     SCHEMA = T.StructType([
@@ -85,76 +91,74 @@ class SessionTable:
         T.StructField("end_sec", T.LongType()), T.StructField("n_events", T.LongType()),
     ])
 
-    def __init__(self, spark: SparkSession, path: str, gap: int = SESSION_GAP, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, gap: int = SESSION_GAP, buckets: int | None = None, slice_sec: int = SLICE_SECONDS):
         self.spark, self.path, self.gap = spark, path.rstrip("/"), gap
-        state = self._state()
+        self.manifest = Manifest(spark, path)
+        state = self.manifest.read()
         self.buckets = state["buckets"] if state else (buckets or parallelism(spark))
+        self.slice_sec = state["slice_sec"] if state else slice_sec
 
-    def _state(self) -> dict | None:
-        fs, root = jvm_fs(self.spark, f"{self.path}/versions")
-        if not fs.exists(root):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        last = max((n for n in names if n.endswith(".json")), default=None)
-        if last is None:
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{last}").first()[0])
-
-    def _commit(self, state: dict) -> None:
-        """Publish a version; fails if another writer published it first."""
-        jvm = self.spark.sparkContext._jvm
-        draft, final = (f"{self.path}/{x}" for x in (f"draft-{uuid.uuid4().hex}", f"versions/{state['version']:012d}.json"))
-        fs, p = jvm_fs(self.spark, draft)
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions"))
-        target = jvm.org.apache.hadoop.fs.Path(final)
-        if fs.exists(target) or not fs.rename(p, target):
-            raise RuntimeError(f"version {state['version']} exists: another batch was merged meanwhile")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col("user_id").cast("long")), F.lit(self.buckets)).cast("int")
-
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
+    def _slice(self, second: Column) -> Column:
+        return F.floor(second / F.lit(self.slice_sec)).cast("long")
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(F.col("user_id").cast("long")), F.lit(self.buckets)).cast("int")
+        return df.withColumn("slice", self._slice(F.col("start_sec"))).withColumn("bucket", bucket)
+
+    def read(self, places: list[str] | None = None) -> DataFrame:
         """The stored sessions: ``user_id, start_sec, end_sec, n_events`` (user as BIGINT)."""
-        state = self._state() or {"files": {}}
-        paths = [p for b, p in state["files"].items() if buckets is None or int(b) in buckets]
+        files = (self.manifest.read() or {"files": {}})["files"]
+        paths = [f"{self.path}/{f[0]}" for p, f in files.items() if places is None or p in places]
         if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{p}" for p in paths])
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
 
-    def merge(self, batch: DataFrame, user: str, time: str) -> None:
+    def merge(self, batch: DataFrame, user: str, time: str, batch_id: int | None = None) -> None:
         """Take in a batch: sessions it bridges become one, others stay or are added.
 
-        The batch's local sessions and the stored ones of its buckets are put in
-        one order of time; components that hold a local session replace their
-        stored parts. A batch without usable rows changes nothing.
+        The batch's local sessions and the stored ones of the slices within the
+        gap of them are put in one order of time; components that hold a local
+        session replace their stored parts. A batch without usable rows changes
+        nothing, and so does a ``batch_id`` that was taken in before.
         """
-        state = self._state() or {"version": 0, "buckets": self.buckets, "files": {}}
+        if self.manifest.holds(batch_id):
+            return
+        state = self.manifest.read() or {"version": 0, "files": {}}
         version = f"{state['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        local = sessions(batch, user, time, self.gap).withColumn("user_id", F.col("user_id").cast("long"))
-        if not state["files"]:
-            new = self._write(local.drop("duration_sec"), f"data/{version}")
+        local = sessions(batch, user, time, self.gap).withColumn("user_id", F.col("user_id").cast("long")).drop("duration_sec")
+        files, touched = dict(state["files"]), []
+        if not files:
+            files = self._write(local, f"data/{version}")
         else:
-            touched = self._write(local.drop("duration_sec"), f"batch/{version}")
-            if not touched:
+            fresh = self._write(local, f"batch/{version}")
+            if fresh:
+                # a local place reaches from its first start to its last end, and the gap on both sides
+                spans: dict[str, list[tuple[int, int]]] = {}
+                for place, (_, low, high) in fresh.items():
+                    spans.setdefault(place.split("/")[1], []).append((low - self.gap, high + self.gap))
+                touched = [p for p, (_, low, high) in files.items() if any(low <= b and high >= a for a, b in spans.get(p.split("/")[1], []))]
+                both = self.read(touched).unionByName(self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f[0]}" for f in fresh.values()]))
+                merged = (
+                    components(both, self.gap).groupBy("user_id", "_comp")
+                    .agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.sum("n_events").alias("n_events"))
+                    .drop("_comp")
+                )
+                new = self._write(merged, f"data/{version}")
+                files = {p: f for p, f in files.items() if p not in touched} | new
+            self.manifest.delete(f"batch/{version}")
+            if not fresh and batch_id is None:
                 return
-            stored = self.read([int(b) for b in touched])
-            fresh = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{p}" for p in touched.values()])
-            merged = (
-                components(stored.unionByName(fresh), self.gap).groupBy("user_id", "_comp")
-                .agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.sum("n_events").alias("n_events"))
-                .drop("_comp")
-            )
-            new = self._write(merged, f"data/{version}")
-            fs, p = jvm_fs(self.spark, f"{self.path}/batch/{version}")
-            fs.delete(p, True)
-        self._commit({"version": state["version"] + 1, "buckets": self.buckets, "files": state["files"] | new})
-
-    def _write(self, df: DataFrame, where: str) -> dict[str, str]:
-        """Write sessions by bucket, one task for each; the folders written, by bucket."""
-        df.withColumn("bucket", self._bucket()).repartitionById(self.buckets, F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{where}")
+        dropped = [state["files"][p][0] for p in touched]
+        last = batch_id if batch_id is not None else state.get("batch")
+        self.manifest.commit({"version": state["version"] + 1, "buckets": self.buckets, "slice_sec": self.slice_sec, "batch": last, "files": files, "dropped": dropped})
+
+    def _write(self, df: DataFrame, where: str) -> dict[str, list]:
+        """Write sessions by slice and bucket, a bucket in one task; folder, first start and last end of each place."""
+        rows = self._placed(df).repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("slice")
+        rows.write.partitionBy("slice", "bucket").parquet(f"{self.path}/{where}")
         fs, root = jvm_fs(self.spark, f"{self.path}/{where}")
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return {n.split("=")[1]: f"{where}/{n}" for n in names if "=" in n}
+        if not any("=" in s.getPath().getName() for s in fs.listStatus(root)):
+            return {}
+        written = self.spark.read.schema("start_sec long, end_sec long, slice long, bucket int").parquet(f"{self.path}/{where}")
+        spans = written.groupBy("slice", "bucket").agg(F.min("start_sec").alias("low"), F.max("end_sec").alias("high")).collect()  # a row for each file
+        return {f"{r['slice']}/{r['bucket']}": [f"{where}/slice={r['slice']}/bucket={r['bucket']}", r["low"], r["high"]] for r in spans}

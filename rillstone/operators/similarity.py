@@ -134,22 +134,32 @@ def user_cf_scores(users: DataFrame, history: DataFrame, neighbors_: DataFrame,
     return rows.groupBy(F.col("_u").alias(user), item).agg(F.sum(value).alias("score"))
 
 
-def update_cosine(old_pairs: DataFrame, old_norms: DataFrame, old_rows: DataFrame, new_rows: DataFrame, entity: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Increment of cosine state by new (entity, key, value) rows with keys not combined before.
+def cosine_increment(old_rows: DataFrame, new_rows: DataFrame, entity: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """What new (entity, key, value) rows add to cosine state: pair sums ``a, b, dot, common`` and squared norms ``entity, sq``.
 
-    State: pair sums (``a, b, dot, common``) and squared norms (``entity, sq``).
-    Pairs among new rows and of new with old rows of the same key are added, so
-    the new state is that of all rows; similarities read from it see the changed
-    norms of untouched pairs too.
+    Pairs among new rows and of new with old rows of the same key, for keys and
+    entities not combined before. Old rows of keys without new rows are not
+    read further than the semi join.
     """
-    fresh = new_rows.groupBy(entity).agg(F.sum(F.col(value).cast("double") * F.col(value)).alias("sq"))
-    norms = old_norms.unionByName(fresh.withColumnRenamed(entity, "entity")).groupBy("entity").agg(F.sum("sq").alias("sq"))
+    norms = new_rows.groupBy(F.col(entity).alias("entity")).agg(F.sum(F.col(value).cast("double") * F.col(value)).alias("sq"))
     n = new_rows.select(F.col(key).alias("_k"), F.col(entity).alias("_e"), F.col(value).cast("double").alias("_x"))
     o = old_rows.select(F.col(key).alias("_k"), F.col(entity).alias("_f"), F.col(value).cast("double").alias("_y"))
     cross = n.join(o, "_k").where("_e <> _f").select(F.least("_e", "_f").alias("a"), F.greatest("_e", "_f").alias("b"), (F.col("_x") * F.col("_y")).alias("p"))
     added = cross.groupBy("a", "b").agg(F.sum("p").alias("dot"), F.count(F.lit(1)).alias("common"))
-    pairs = old_pairs.unionByName(pair_sums(new_rows, entity, key, value)).unionByName(added)
-    return pairs.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.sum("common").alias("common")), norms
+    return sum_pairs(pair_sums(new_rows, entity, key, value).unionByName(added)), norms
+
+
+def sum_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.sum("common").alias("common"))
+
+
+def update_cosine(old_pairs: DataFrame, old_norms: DataFrame, old_rows: DataFrame, new_rows: DataFrame, entity: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Cosine state of old and new rows from the old state and the increment.
+
+    Similarities read from it see the changed norms of untouched pairs too.
+    """
+    pairs, norms = cosine_increment(old_rows, new_rows, entity, key, value)
+    return sum_pairs(old_pairs.unionByName(pairs)), old_norms.unionByName(norms).groupBy("entity").agg(F.sum("sq").alias("sq"))
 
 
 def cosine_from_state(pairs: DataFrame, norms: DataFrame) -> DataFrame:

@@ -34,14 +34,16 @@ def build_session(cpus: int | str = "*", app: str = "rillstone", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a folder of our own is
-    made and removed at exit; a cluster always sets it.
+    Only in local mode (tests, a laptop) and where none is named a folder of our
+    own is made and removed at exit; a cluster must set it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _own_dirs[app] = tempfile.mkdtemp(prefix="rillstone-")
         atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_own_dirs[app])

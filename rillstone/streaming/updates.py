@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rillstone.operators.manifest import Manifest
 from rillstone.operators.sessions import SESSION_GAP, SessionTable
-from rillstone.operators.similarity import cosine_from_state, pair_sums, update_cosine
+from rillstone.operators.similarity import cosine_from_state, cosine_increment, sum_pairs
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -18,11 +20,11 @@ def parquet_stream(spark: SparkSession, path: str, schema, files_per_trigger: in
 
 
 def session_sink(stream: DataFrame, path: str, user: str, time: str, checkpoint: str, gap: int = SESSION_GAP):
-    """Feed a stream to a session table; every micro-batch is one atomic version."""
+    """Feed a stream to a session table; every micro-batch is one atomic version, a replayed one is passed over."""
     table = SessionTable(stream.sparkSession, path, gap)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        table.merge(batch, user, time)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch, user, time, batch_id)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -51,35 +53,61 @@ def recent_history(stream: DataFrame, user: str, item: str, time: str, length: i
     return stream.groupBy(user).applyInPandasWithState(update, "user long, items string", "t array<long>, i array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Increments that are kept apart before they are summed up.
+COMPACT = 16
+
+
 class CosineStream:
-    """Cosine state kept up to date by micro-batches: pair sums, norms and rows as versioned tables."""
+    """Cosine state kept up to date by micro-batches.
 
-    def __init__(self, spark: SparkSession, path: str, entity: str, key: str, value: str):
-        self.spark, self.path, self.entity, self.key, self.value = spark, path, entity, key, value
-        self.version = 0
+    Each batch adds its increments of pair sums, norms and rows as files of its
+    own; one manifest commits all three and remembers the batch, so a replayed
+    batch is passed over, also by a new object after a restart. Readers sum the
+    increments up; every ``COMPACT`` batches they are rewritten as one.
+    """
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
+    TABLES = ("pairs", "norms", "rows")
 
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in a batch; a batch that was taken in before is passed over."""
-        if batch_id < self.version:
+    def __init__(self, spark: SparkSession, path: str, entity: str, key: str, value: str):
+        self.spark, self.path, self.entity, self.key, self.value = spark, path.rstrip("/"), entity, key, value
+        self.manifest = Manifest(spark, path)
+
+    def _table(self, name: str, parts: list[str]) -> DataFrame:
+        rows = self.spark.read.parquet(*[f"{self.path}/{p}/{name}" for p in parts])
+        if name == "pairs":
+            return sum_pairs(rows)
+        return rows.groupBy("entity").agg(F.sum("sq").alias("sq")) if name == "norms" else rows
+
+    def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        """Take in a batch: null ids, keys and values are left out, of a repeated entity and key any one counts, the earlier batch's first."""
+        if self.manifest.holds(batch_id):
             return
+        state = self.manifest.read() or {"version": 0, "parts": []}
+        parts = state["parts"]
         new = batch.select(self.entity, self.key, self.value).dropna().dropDuplicates([self.entity, self.key])
-        if self.version:
-            old = self._table("rows")
-            new = new.join(old, [self.entity, self.key], "left_anti")
-            pairs, norms = update_cosine(self._table("pairs"), self._table("norms"), old, new, self.entity, self.key, self.value)
-            rows = old.unionByName(new)
-        else:
-            pairs, rows = pair_sums(new, self.entity, self.key, self.value), new
-            norms = new.groupBy(F.col(self.entity).alias("entity")).agg(F.sum(F.col(self.value).cast("double") * F.col(self.value)).alias("sq"))
-        for name, df in (("pairs", pairs), ("norms", norms), ("rows", rows)):
-            df.write.mode("overwrite").parquet(f"{self.path}/{batch_id + 1}/{name}")
-        self.version = batch_id + 1
+        if parts:
+            new = new.join(self._table("rows", parts), [self.entity, self.key], "left_anti")
+        here = f"{state['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        new.write.parquet(f"{self.path}/{here}/rows")
+        new = self.spark.read.schema(new.schema).parquet(f"{self.path}/{here}/rows")
+        old = self._table("rows", parts) if parts else new.limit(0)
+        pairs, norms = cosine_increment(old, new, self.entity, self.key, self.value)
+        pairs.write.parquet(f"{self.path}/{here}/pairs")
+        norms.write.parquet(f"{self.path}/{here}/norms")
+        parts, dropped = [*parts, here], []
+        if len(parts) >= COMPACT:
+            whole = f"{state['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+            for name in self.TABLES:
+                self._table(name, parts).write.parquet(f"{self.path}/{whole}/{name}")
+            parts, dropped = [whole], parts
+        last = batch_id if batch_id is not None else state.get("batch")
+        self.manifest.commit({"version": state["version"] + 1, "batch": last, "parts": parts, "dropped": dropped})
 
     def similarities(self) -> DataFrame:
-        return cosine_from_state(self._table("pairs"), self._table("norms"))
+        parts = (self.manifest.read() or {"parts": []})["parts"]
+        if not parts:
+            raise ValueError("no batch was taken in yet")
+        return cosine_from_state(self._table("pairs", parts), self._table("norms", parts))
 
     def sink(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint)

@@ -11,6 +11,7 @@ from rillstone.functions import arrays
 from rillstone.functions import autodiff as ad
 from rillstone.operators import factor, graph, knn, metrics, neural, ranking, serving, similarity
 from rillstone.session import scratch
+from rillstone.streaming import updates
 from rillstone.streaming.updates import CosineStream
 
 MATRIX = [[1, 1, 0, 0], [2, 1, 0, 0], [0, 1, 1, 0], [2, 1, 1, 0], [0, 1, 2, 0]]
@@ -51,15 +52,23 @@ def test_similarities_equal_brute_force(spark, kind, least):
     assert similarity.similarities(frame(spark, MATRIX).limit(0), "item", "user", "label", kind).count() == 0
 
 
-def test_increments_equal_all_at_once(spark):
+def test_increments_equal_all_at_once(spark, monkeypatch):
     full = frame(spark, MATRIX)
-    s = CosineStream(spark, scratch(spark, "cos"), "item", "user", "label")
-    s.merge(full.where("user < 2"), 0)
-    s.merge(full.where("user >= 2"), 1)
-    s.merge(full.where("user >= 2"), 1 - 1)  # replayed
+    path = scratch(spark, "cos")
+    open_ = lambda: CosineStream(spark, path, "item", "user", "label")
+    open_().merge(full.where("user < 2"), 0)
+    open_().merge(full.where("user >= 2"), 1)  # a new object finds the state of the one before
+    s = open_()
+    s.merge(full.where("user >= 2"), 1)  # replayed
+    s.merge(full.where("user < 1"), 2)  # known rows add nothing
     want = {(r["a"], r["b"]): r["sim"] for r in similarity.similarities(full, "item", "user", "label").collect()}
-    got = {(r["a"], r["b"]): r["sim"] for r in s.similarities().collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert len(s.manifest.read()["parts"]) == 3
+    monkeypatch.setattr(updates, "COMPACT", 4)
+    for b in (3, 4):
+        got = {(r["a"], r["b"]): r["sim"] for r in s.similarities().collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        s.merge(full.limit(0), b)
+    assert len(s.manifest.read()["parts"]) == 2
 
 
 def test_swing(spark):

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from rillstone.operators.sessions import SessionTable, sessions, whole_seconds
-from rillstone.session import scratch
+from rillstone.session import jvm_fs, scratch
 
 
 def brute(data, gap):
@@ -75,11 +75,39 @@ def test_version_conflict_and_untouched_buckets(spark):
     path = scratch(spark, "t")
     table = SessionTable(spark, path, 1800, 4)
     table.merge(spark.createDataFrame([(u, 1000) for u in range(20)], "u int, t long"), "u", "t")
-    before = table._state()["files"]
+    before = table.manifest.read()["files"]
     table.merge(spark.createDataFrame([(3, 1500)], "u int, t long"), "u", "t")
-    after = table._state()["files"]
+    after = table.manifest.read()["files"]
     assert sum(before[b] != after[b] for b in before) == 1
     assert (3, 1000, 1500, 2) in rows(table.read())
     with pytest.raises(RuntimeError):
-        table._commit(table._state())
+        table.manifest.commit(table.manifest.read())
     assert SessionTable(spark, scratch(spark, "none")).read().count() == 0
+
+
+def test_a_day_rewrites_its_own_slice_and_old_files_go(spark):
+    day = 86_400
+    table = SessionTable(spark, scratch(spark, "t"), 1800, 1, slice_sec=day)
+    data = [(u, d * day + 40_000 + 7_000 * (u % 3)) for u in range(12) for d in range(10)]
+    table.merge(spark.createDataFrame(data, "u int, t long"), "u", "t")
+    before = table.manifest.read()["files"]
+    late = [(3, 6 * day + 40_500), (3, 6 * day + 80_000)]
+    table.merge(spark.createDataFrame(late, "u int, t long"), "u", "t")
+    after = table.manifest.read()["files"]
+    assert [p for p in before if before[p] != after[p]] == ["6/0"] and before.keys() == after.keys()
+    bridge = [(5, 7 * day - 1000 + 900 * k) for k in range(-48, 49)]  # from one slice into the next
+    table.merge(spark.createDataFrame(bridge, "u int, t long"), "u", "t")
+    fs, old = jvm_fs(spark, f"{table.path}/{before['6/0'][0]}")
+    assert not fs.exists(old)  # replaced by the second batch, deleted by the third
+    assert rows(table.read(), "user_id", "start_sec", "end_sec", "n_events") == brute(data + late + bridge, 1800)
+
+
+def test_a_replayed_batch_counts_once_after_a_restart_too(spark):
+    path = scratch(spark, "t")
+    batch = spark.createDataFrame([(1, 1000), (1, 1001), (2, 5000)], "u int, t long")
+    for _ in range(2):
+        SessionTable(spark, path, 1800, 2).merge(batch, "u", "t", 0)
+    assert rows(SessionTable(spark, path).read()) == [(1, 1000, 1001, 2), (2, 5000, 5000, 1)]
+    SessionTable(spark, path).merge(batch, "u", "t", 1)
+    SessionTable(spark, path).merge(batch, "u", "t", 0)
+    assert {r["n_events"] for r in SessionTable(spark, path).read().collect()} == {4, 2}
