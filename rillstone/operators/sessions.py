@@ -21,8 +21,8 @@ from rillstone.operators.manifest import Manifest
 from rillstone.session import jvm_fs, parallelism
 
 SESSION_GAP = 1800
-#: Seconds of start times that one file of the table holds.
-SLICE_SECONDS = 30 * 86_400
+#: Seconds of start times that one file of the table holds, unless the table is made with others.
+SLICE_SECONDS = 90 * 86_400
 
 
 def whole_seconds(time: Column) -> Column:
@@ -130,14 +130,16 @@ class SessionTable:
         if not files:
             files = self._write(local, f"data/{version}")
         else:
-            fresh = self._write(local, f"batch/{version}")
+            self._placed(local).write.parquet(f"{self.path}/batch/{version}")
+            local = self.spark.read.schema(self._placed(local).schema).parquet(f"{self.path}/batch/{version}")
+            fresh = self._spans(local)
             if fresh:
                 # a local place reaches from its first start to its last end, and the gap on both sides
                 spans: dict[str, list[tuple[int, int]]] = {}
-                for place, (_, low, high) in fresh.items():
+                for place, (low, high) in fresh.items():
                     spans.setdefault(place.split("/")[1], []).append((low - self.gap, high + self.gap))
-                touched = [p for p, (_, low, high) in files.items() if any(low <= b and high >= a for a, b in spans.get(p.split("/")[1], []))]
-                both = self.read(touched).unionByName(self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/{f[0]}" for f in fresh.values()]))
+                touched = [p for p, (_, low, high) in files.items() if p in fresh or any(low <= b and high >= a for a, b in spans.get(p.split("/")[1], []))]
+                both = self.read(touched).unionByName(local.select(*self.SCHEMA.fieldNames()))
                 merged = (
                     components(both, self.gap).groupBy("user_id", "_comp")
                     .agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.sum("n_events").alias("n_events"))
@@ -160,5 +162,10 @@ class SessionTable:
         if not any("=" in s.getPath().getName() for s in fs.listStatus(root)):
             return {}
         written = self.spark.read.schema("start_sec long, end_sec long, slice long, bucket int").parquet(f"{self.path}/{where}")
-        spans = written.groupBy("slice", "bucket").agg(F.min("start_sec").alias("low"), F.max("end_sec").alias("high")).collect()  # a row for each file
-        return {f"{r['slice']}/{r['bucket']}": [f"{where}/slice={r['slice']}/bucket={r['bucket']}", r["low"], r["high"]] for r in spans}
+        return {p: [f"{where}/slice={p.split('/')[0]}/bucket={p.split('/')[1]}", *span] for p, span in self._spans(written).items()}
+
+    @staticmethod
+    def _spans(placed: DataFrame) -> dict[str, tuple[int, int]]:
+        """First start and last end of each place: a row for each file of the table."""
+        spans = placed.groupBy("slice", "bucket").agg(F.min("start_sec").alias("low"), F.max("end_sec").alias("high")).collect()
+        return {f"{r['slice']}/{r['bucket']}": (r["low"], r["high"]) for r in spans}

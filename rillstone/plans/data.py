@@ -261,6 +261,9 @@ QUERIES = {
 
 _R = '"user", item, k1, k2, k3, k4'
 _J = lambda c: f"array_to_string({c}, ',')"
+#: Rows of the held-out fold, and the users and items of the other.
+_KNOWN = """sm as materialized (select * from s), s0f as (select * from sm where fold = 1),
+        ku as materialized (select distinct "user" from sm where fold = 0), ki as materialized (select distinct item from sm where fold = 0)"""
 _BEFORE = SQL_LISTS + """,
 b as (select i0."user", item, k1, k2, k3, k4,
         case when list_position(items, item) > 0 then items[1:list_position(items, item) - 1] else items end as past
@@ -314,10 +317,10 @@ ORACLE = {
         a as (select n, cast(ceil(round(n * 0.1, 9)) as bigint) as f2 from n),
         b as (select n, f2, cast(ceil(round((n - f2) * 0.1 / 0.9, 9)) as bigint) as f1 from a)
         select 0 as fold, n - f1 - f2 as n from b union all select 1, f1 from b union all select 2, f2 from b""",
-    "filter_unknown": f"""with {SQL_SPLIT} select {_R} from s where fold = 1
-        and "user" in (select "user" from s where fold = 0) and item in (select item from s where fold = 0)""",
-    "pad_unknown": f"""with {SQL_SPLIT} select case when "user" in (select "user" from s where fold = 0) then "user" else -9 end as "user",
-        case when item in (select item from s where fold = 0) then item else -8 end as item, k1, k2, k3, k4 from s where fold = 1""",
+    "filter_unknown": f"""with {SQL_SPLIT}, {_KNOWN} select {_R} from s0f semi join ku using ("user") semi join ki using (item)""",
+    "pad_unknown": f"""with {SQL_SPLIT}, {_KNOWN} select case when ku."user" is null then -9 else s0f."user" end as "user",
+        case when ki.item is null then -8 else s0f.item end as item, k1, k2, k3, k4
+        from s0f left join ku on s0f."user" = ku."user" left join ki on s0f.item = ki.item""",
     "vocab_encode": f"""with {SQL_SPLIT},
         vu as (select "user" as r, row_number() over (order by "user") - 1 as x from (select distinct "user" from s where fold = 0)),
         vi as (select item as r, row_number() over (order by item) - 1 as x from (select distinct item from s where fold = 0))

@@ -99,7 +99,9 @@ def test_a_day_rewrites_its_own_slice_and_old_files_go(spark):
     table.merge(spark.createDataFrame(bridge, "u int, t long"), "u", "t")
     fs, old = jvm_fs(spark, f"{table.path}/{before['6/0'][0]}")
     assert not fs.exists(old)  # replaced by the second batch, deleted by the third
-    assert rows(table.read(), "user_id", "start_sec", "end_sec", "n_events") == brute(data + late + bridge, 1800)
+    apart = [(4, 2 * day + 85_000)]  # in a slice whose sessions are all further away than the gap
+    table.merge(spark.createDataFrame(apart, "u int, t long"), "u", "t")
+    assert rows(table.read(), "user_id", "start_sec", "end_sec", "n_events") == brute(data + late + bridge + apart, 1800)
 
 
 def test_a_replayed_batch_counts_once_after_a_restart_too(spark):
