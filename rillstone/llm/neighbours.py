@@ -7,9 +7,10 @@ just those queries that matter, weighs ``eta`` times as much as the part
 across it. A query brings its tables (the products with all centres, as whole
 numbers) to the codes of its nearest cells and adds table entries up, two codes
 a byte; neither vectors of the collection nor products with them are needed.
-Only codes whose score plus the length of their error may reach the floor and
-the k-th best are candidates, and only for these the exact vectors are fetched.
-Within the probed cells the result is therefore exact.
+A code keeps the parts of its error along and across its vector, which bound
+the cosine from both sides; only codes that may reach the floor and the k-th
+best are candidates, and only for these the exact vectors are fetched. Within
+the probed cells the result is therefore exact.
 
 Fitted on a bounded sample (``FIT_ROWS``); the probes are chosen by the exact
 neighbours, among all vectors, of at most ``PROBE_QUERIES`` of them. Every
@@ -36,7 +37,7 @@ from rillstone.session import materialize, small
 #: Vectors that the quantisers are fitted on, at most, and of these for each coarse cell at least.
 FIT_ROWS, CELL_ROWS = 32_768, 16
 #: Vectors whose exact neighbours among all vectors the probes are chosen by, at most; pairs that decide, at least.
-PROBE_QUERIES, PROBE_PAIRS = 1_000, 200
+PROBE_QUERIES, PROBE_PAIRS = 1_000, 40
 #: Vectors in a block of a cell, and queries in a block against it.
 DB_BLOCK, QUERY_BLOCK = 4_096, 16_384
 #: Dimensions of a subspace; 16 centres each, so four bits.
@@ -140,7 +141,7 @@ def coarse_cells(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -
     return cells.astype(np.float32)
 
 
-def fit(x: np.ndarray, n_cells: int, threshold: float = 0.3, rounds: int = 8, seed: int = 5) -> Quantiser:
+def fit(x: np.ndarray, n_cells: int, threshold: float = 0.3, rounds: int = 5, seed: int = 5) -> Quantiser:
     """Fit cells and codebooks on unit vectors (float32, of even dimension)."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
@@ -311,7 +312,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 
 def _deal(q: Quantiser, probes: int):
-    """Probed cells (the first is its own), code, length of the code's error, and half-precision unit vector of each vector."""
+    """Probed cells (the first is its own), code, the code's error along and across the vector, and half-precision unit vector of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,9 +322,11 @@ def _deal(q: Quantiser, probes: int):
                 x = exact.astype(np.float32)
                 cells = q.assign(x, probes)
                 codes = q.encode(x, cells[:, 0])
-                error = np.linalg.norm(exact - q.decode(codes, cells[:, 0]), axis=1).astype(np.float32)
+                error = exact - q.decode(codes, cells[:, 0])
+                along = (error * exact).sum(1)
+                across = np.linalg.norm(error - along[:, None] * exact, axis=1)
                 flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * cells.shape[1]).astype(np.int32)), pa.array(cells.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, _binary(pack(codes)), pa.array(error), _binary(x.astype(np.float16))], names=["id", "vec", "cells", "codes", "error", "half"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, _binary(pack(codes)), pa.array(along.astype(np.float32)), pa.array(across.astype(np.float32)), _binary(x.astype(np.float16))], names=["id", "vec", "cells", "codes", "along", "across", "half"])
 
     return run
 
@@ -337,12 +340,24 @@ _CANDIDATES = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("d", pa.int6
 _CANDIDATES_SQL = "id long, cell int, d long, near array<bigint>, most array<float>, sure array<float>"
 
 
+def cosine_bounds(score: np.ndarray, along: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest cosine of a unit query with vectors whose codes give ``score``.
+
+    With cosine c the code scores c (1 - along) minus the query's part across the
+    vector times the error's, which is sqrt(1 - c^2) ``across`` at most.
+    """
+    a = 1 - along
+    size = a * a + across * across
+    mid, reach = a * score / size, across * np.sqrt(np.maximum(size - score * score, 0)) / size
+    return mid - reach, mid + reach
+
+
 def _scan(q: Quantiser, k: int, floor: float):
     """Scan the codes of one block of a cell for one block of queries.
 
     A row for each query that has candidates here: ``near`` with the most each
-    can score, or null and the most of all if all of the block are to be
-    scored; ``sure`` is what its k best here score at least.
+    can score, or null and 1 if all of the block are to be scored; ``sure`` is
+    what its k best here score at least.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -353,7 +368,11 @@ def _scan(q: Quantiser, k: int, floor: float):
             return _CANDIDATES.empty_table()
         db_id, ask_id = (t.column("id").to_numpy() for t in (db, ask))
         by_id = np.argsort(db_id)
-        db_id, codes, error = db_id[by_id], _matrix(db.column("data"), np.uint8)[by_id], db.column("error").to_numpy()[by_id]
+        db_id, codes = db_id[by_id], _matrix(db.column("data"), np.uint8)[by_id]
+        along, across = (db.column(c).to_numpy()[by_id] for c in ("along", "across"))
+        # what a code scores at least with a query whose cosine is the floor or more
+        needs = floor * (1 - along) - np.sqrt(max(0.0, 1 - floor**2)) * across if floor > -1 else np.full(len(db_id), -9.0)
+        needs = needs.astype(np.float32)
         y = _matrix(ask.column("data"), np.float16).astype(np.float32)
         centre = q.cells[cell]
         place = np.minimum(np.searchsorted(db_id, ask_id), len(db_id) - 1)
@@ -363,26 +382,26 @@ def _scan(q: Quantiser, k: int, floor: float):
             table, base, step, slack = tables(q, part)
             score = (scan_codes(table, codes) * step.astype(np.float32)).T + (base + part @ centre).astype(np.float32)[:, None]
             own = np.flatnonzero(db_id[at] == ask_id[i : i + SCAN_QUERIES])
-            score[own, at[own]] = -9
             off = (slack * step + HALF).astype(np.float32)[:, None]
-            most = score + error + off
-            least = np.full(len(part), np.float32(max(floor, -2.0)))
-            wide = np.arange(len(part)) if floor <= -2 else np.flatnonzero((most >= least[:, None]).sum(1) > NAMED)
+            hit = score + off >= needs
+            hit[own, at[own]] = False
+            wide = np.arange(len(part)) if floor <= -1 else np.flatnonzero(hit.sum(1) > NAMED)
             sure = np.full((len(part), k), np.float32(-9))
             if len(wide):
-                low = score[wide] - error - off[wide]
+                low = cosine_bounds(score[wide] - off[wide], along, across)[0]
+                low[~hit[wide]] = -9
                 n = min(k, low.shape[1])
                 sure[wide, :n] = -np.partition(-low, n - 1, axis=1)[:, :n]
                 if n == k:
-                    least[wide] = np.maximum(least[wide], sure[wide].min(1))
-            hit = most >= least[:, None]
+                    hit[wide] &= cosine_bounds(score[wide] + off[wide], along, across)[1] >= sure[wide].min(1)[:, None]
             count = hit.sum(1)
             all_ = count > NAMED
             row, col = np.nonzero(hit & ~all_[:, None])
             asks = np.flatnonzero(count)
             line = np.searchsorted(asks, row)
+            most = cosine_bounds(score[row, col] + off[row, 0], along[col], across[col])[1]
             near = _lists(line, db_id[col], len(asks), pa.int64())
-            line, value = np.r_[line, np.searchsorted(asks, np.flatnonzero(all_))], np.r_[most[row, col], most[all_].max(1, initial=-9)]
+            line, value = np.r_[line, np.searchsorted(asks, np.flatnonzero(all_))], np.r_[most, np.ones(all_.sum())]
             order = np.argsort(line, kind="stable")
             high = _lists(line[order], value[order], len(asks), pa.float32())
             near = pa.ListArray.from_arrays(near.offsets, near.values, mask=pa.array(all_[asks]))
@@ -453,7 +472,7 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     q = fit(_padded(_unit(_matrix(sample.column("vec"), np.float32))).astype(np.float32), cells or max(1, round(n**0.5)))
     probes = probes or choose_probes(q, index, sample.slice(0, PROBE_QUERIES), k, floor, 0.99 if floor > -1 else 0.96)
     shared = spark.sparkContext.broadcast(q)  # about sqrt(n) x dim numbers
-    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary, error float, half binary"), "vectors-dealt")
+    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary, along float, across float, half binary"), "vectors-dealt")
     own = F.get("cells", F.lit(0))
     sizes = dealt.select(own.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_db"))
     asks = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_ask"))
@@ -461,11 +480,11 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     few = small(blocks, len(q.cells))  # a row for each cell
     turn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     block = F.pmod(turn, F.col("db_blocks").cast("long"))
-    none = F.lit(None).cast("float").alias("error")
+    none = [F.lit(None).cast("float").alias(c) for c in ("along", "across")]
     db = dealt.withColumn("cell", own).join(few, "cell")
-    db = db.select("cell", block.alias("d"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", F.col("codes").alias("data"), "error")
+    db = db.select("cell", block.alias("d"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", F.col("codes").alias("data"), "along", "across")
     ask = dealt.select(F.explode("cells").alias("cell"), "id", "half").join(few, "cell")
-    ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", F.col("half").alias("data"), none)
+    ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", F.col("half").alias("data"), *none)
     found = materialize(db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, k, floor), _CANDIDATES_SQL), "vectors-candidates")
     # what a query's k best score at least, over all its blocks: candidates that can't reach it are dropped
     sure = found.select("id", F.explode("sure").alias("s"))
