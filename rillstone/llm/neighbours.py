@@ -205,16 +205,20 @@ def _nearest(y: np.ndarray, y_id: np.ndarray, q: Quantiser, k: int):
         kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64))
         least = np.full(len(y), -2.0)
         for b in batches:
-            for i in range(0, b.num_rows, 8192):
-                part = b.slice(i, 8192)
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
                 ids, x = part.column(0).to_numpy(), _padded(_unit(_matrix(part.column(1), np.float32)))
                 s = y @ x.T
                 s[y_id[:, None] == ids[None, :]] = -9
-                row, col = np.nonzero(s > least[:, None])
+                hit = s > least[:, None]
+                if hit.sum() > 4 * k * len(y):  # none beyond the k best of these vectors alone can count
+                    n = min(k, s.shape[1])
+                    hit &= s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+                row, col = np.nonzero(hit)
                 own = np.zeros(0, np.int64)
                 if len(row):
-                    hit, back = np.unique(col, return_inverse=True)
-                    own = q.assign(x[hit].astype(np.float32), 1)[:, 0][back]
+                    near, back = np.unique(col, return_inverse=True)
+                    own = q.assign(x[near].astype(np.float32), 1)[:, 0][back]
                 both = [np.concatenate(c) for c in zip(kept, (row, ids[col], s[row, col], own), strict=True)]
                 order = np.lexsort((both[1], -both[2], both[0]))
                 row = both[0][order]
