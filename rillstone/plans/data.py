@@ -56,13 +56,13 @@ def vocab_encode(spark, sf_dir):
 
 def vocab_growth(spark, sf_dir):
     s = chrono_split(spark, sf_dir)
-    old = vocab.vocabulary(s.where("fold = 0 and item % 3 <> 0"), "item")
+    old = vocab.vocabulary(s.where("fold = 0"), "item")
     return vocab.grow(old, s.where("fold = 1"), "item")
 
 
 def sparse_matrix_offsets(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    v = {n: vocab.vocabulary(c.where("c_custkey % 2 = 0"), n) for n in ("c_mktsegment", "c_nationkey")}
+    v = {n: vocab.vocabulary(c, n) for n in ("c_mktsegment", "c_nationkey")}
     space = vocab.IndexSpace({n: x.count() for n, x in v.items()})
     out = vocab.sparse_indices(c, space, v)
     return out.select("c_custkey", F.posexplode("sparse").alias("pos", "idx"))
@@ -83,7 +83,7 @@ def multi_sparse_encode(spark, sf_dir):
 def _scaled(kind):
     def run(spark, sf_dir):
         c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-        params = features.fit_scaler(c.where("c_custkey % 4 <> 0"), ["c_acctbal"], kind)
+        params = features.fit_scaler(c, ["c_acctbal"], kind)
         return features.scale(c, ["c_acctbal"], params).select("c_custkey", F.round("c_acctbal", 6).alias("x"))
 
     return run
@@ -271,7 +271,7 @@ b as (select i0."user", item, k1, k2, k3, k4,
 _PAD = lambda c, n: f"array_to_string(({c} || list_transform(range({n}), lambda x: -1::bigint))[1:{n}], ',')"
 _SCALE = lambda shift, scale: f"""
     select c_custkey, round((c_acctbal - a) / case when b = 0 then 1 else b end, 6) as x
-    from customer, (select {shift} as a, {scale} as b from customer where c_custkey % 4 <> 0)"""
+    from customer, (select {shift} as a, {scale} as b from customer)"""
 _WORDS = """
 w as (select p_partkey, p_brand, string_split(lower(p_name), ' ') as x from part),
 m as (select p_partkey, p_brand, coalesce(x[1], 'missing') as words_1, coalesce(x[2], 'missing') as words_2, coalesce(x[3], 'missing') as words_3 from w)"""
@@ -327,13 +327,13 @@ ORACLE = {
         select {_R}, coalesce(vu.x, (select count(*) from vu)) as user_idx, coalesce(vi.x, (select count(*) from vi)) as item_idx
         from s left join vu on "user" = vu.r left join vi on item = vi.r""",
     "vocab_growth": f"""with {SQL_SPLIT},
-        o as (select item as raw, row_number() over (order by item) - 1 as idx from (select distinct item from s where fold = 0 and item % 3 <> 0)),
+        o as (select item as raw, row_number() over (order by item) - 1 as idx from (select distinct item from s where fold = 0)),
         n as (select item as raw, row_number() over (order by item) - 1 + (select count(*) from o) as idx
               from (select distinct item from s where fold = 1 and item not in (select raw from o)))
         select raw, idx from o union all select raw, idx from n""",
     "sparse_matrix_offsets": """with
-        a as (select c_mktsegment as r, row_number() over (order by c_mktsegment) - 1 as x from (select distinct c_mktsegment from customer where c_custkey % 2 = 0)),
-        b as (select c_nationkey as r, row_number() over (order by c_nationkey) - 1 as x from (select distinct c_nationkey from customer where c_custkey % 2 = 0)),
+        a as (select c_mktsegment as r, row_number() over (order by c_mktsegment) - 1 as x from (select distinct c_mktsegment from customer)),
+        b as (select c_nationkey as r, row_number() over (order by c_nationkey) - 1 as x from (select distinct c_nationkey from customer)),
         n as (select (select count(*) from a) as na, (select count(*) from b) as nb)
         select c_custkey, 0 as pos, cast(coalesce(a.x, na) as int) as idx from customer cross join n left join a on c_mktsegment = a.r
         union all select c_custkey, 1, cast(coalesce(b.x, nb) + na + 1 as int) from customer cross join n left join b on c_nationkey = b.r""",
