@@ -132,3 +132,32 @@ def test_popular_negatives_of_a_dominating_item(spark):
     df = spark.createDataFrame([(r, r % 2) for r in range(200)], "row int, item int")
     got = sampling.popular_negatives(df, "row", "item", log, "user", 2).select("row", "item", "negative").collect()
     assert len(got) == 400 and {r["negative"] for r in got if r["item"] == 1} == {0}
+
+
+def test_sorted_vocabulary_gives_the_ids_of_the_join(spark):
+    df = spark.createDataFrame([(5, "a"), (-3, "b"), (None, "c"), (9, "d"), (2**40, "e"), (5, "f")], "user long, x string")
+    v = vocab.vocabulary(df.where("x <> 'd'"), "user")
+    assert rows(vocab.encode_sorted(df, {"user": (v, 3)}), "x", "user_idx") == rows(vocab.encode(df, "user", v, 3), "x", "user_idx")
+    assert rows(vocab.encode_sorted(df, {"user": (vocab.vocabulary(df.limit(0), "user"), 0)}), "user_idx") == [(0,)] * 6
+
+
+def test_negatives_are_drawn_without_shuffling_draws(spark):
+    """As the rules say, also where valid draws run out and pairs repeat; the plan explodes no draws."""
+    r = spark.range(60).select(F.col("id").alias("row"), F.when(F.col("id") % 7 == 6, None).otherwise(F.col("id") % 5).alias("user"), (F.col("id") * 3 % 6).alias("item"))
+    pairs = spark.range(50).select((F.col("id") % 6).alias("user"), (F.col("id") * 7 % 6).alias("item")).where("user <> 3")
+    neg = sampling.unconsumed_negatives(r, "row", "user", "item", pairs, 6, 2)
+    assert "Generate" not in neg._jdf.queryExecution().toString()
+    seen = {tuple(p) for p in pairs.collect()}
+
+    def mix(*parts):
+        h = sampling.ADD
+        for p in parts:
+            h = (h * sampling.MUL_A + p % sampling.MOD * sampling.MUL_B + sampling.ADD) % sampling.MOD
+            h = (h * sampling.MUL_A + (h >> 11)) % sampling.MOD
+        return h
+
+    want = []
+    for row, user, item in r.collect():
+        draws = dict.fromkeys(x for k in range(20) if (x := mix(row, k, 42) % 6) != item)
+        want += [(row, user, x) for x in sorted(draws, key=lambda x: (user, x) in seen)[:2]]
+    assert rows(neg, "row", "user", "negative") == sorted(want, key=str)
