@@ -199,6 +199,47 @@ def test_training_learns_and_grows(spark):
         neural.train(df.limit(0), spec)
 
 
+def test_steps_of_touched_rows_equal_those_of_a_dense_adam():
+    """Rows that are seldom read miss no step of the momentum; only touched rows are held and sent."""
+    r = np.random.default_rng(3)
+    one, dense, adam = neural.Touched(neural.ModelSpec("BPR", 3, 3), {"x": np.zeros((3, 4))}, 0.01), {"x": ad.Var(np.zeros((3, 4)))}, neural.Adam(0.01)
+    for _ in range(300):
+        hit = np.flatnonzero(r.random(3) < np.array([0.5, 0.05, 0.01]))
+        g = np.zeros((3, 4))
+        g[hit] = r.normal(0, 1e-3, (len(hit), 4))
+        if len(hit):
+            one.rows("x", (3, 4), hit)
+            one.read[-1][2].grad = g[hit]
+        one.step()
+        dense["x"].grad = g
+        adam.step(dense)
+    moved = np.zeros((3, 4))
+    for _, _, ids, change in one.changes():
+        moved[ids] += change
+    assert np.allclose(moved, dense["x"].value, atol=5e-6)
+    for name, loss in (("NCF", "cross_entropy"), ("YouTubeRanking", "cross_entropy"), ("TwoTower", "bpr"), ("SVDpp", "cross_entropy")):
+        spec = neural.ModelSpec(name, 400, 300, 4, (5,), 9, 2, 4, 4, loss=loss, lr=0.01)
+        draw = lambda: {
+            "user": (r.random(16) ** 3 * 200).astype(int), "item": (r.random(16) ** 3 * 200).astype(int), "negative": r.integers(0, 200, 16), "label": r.integers(0, 2, 16).astype(float), "sparse": r.integers(0, 9, (16, 2)),
+            "dense": r.standard_normal((16, 4)), "seq": r.integers(0, 200, (16, 4)), "seq_len": r.integers(1, 5, 16),
+        }
+        batches = [draw() for _ in range(120)]
+        dense, adam = neural.Init(spec), neural.Adam(spec.lr)
+        neural.MODELS[name][0](dense, batches[0])
+        start = {k: v.value.copy() for k, v in dense.values.items()}
+        touched = neural.Touched(spec, start, spec.lr)
+        for b in batches:
+            for p, step in ((dense, lambda: adam.step(dense.values)), (touched, touched.step)):  # noqa: B023
+                neural.loss_of(spec, p, b).backward()
+                step()
+        got = {k: v.copy() for k, v in start.items()}
+        for k, _, ids, change in touched.changes():
+            got[k].reshape(-1, got[k].shape[-1])[ids] += change
+        for k, v in dense.values.items():
+            assert np.abs(got[k] - v.value).mean() < 2e-3 * np.abs(start[k] - v.value).mean() + 1e-12, (name, k)  # kinks spread what eps leaves
+        assert touched.tables["user"]["n"] < 200 and len(touched.tables["user"]["p"]) <= 401
+
+
 def test_graph_models_learn_through_propagation(spark):
     """Two groups of users and items: trained pairwise, the own group's unseen items score higher; training and scores agree."""
     r = np.random.default_rng(5)
