@@ -307,3 +307,36 @@ def test_item_neighbours_of_graph_models(spark):
             if near:
                 assert sum(w) == pytest.approx(1 if name == "PinSage" else len(near))
         assert any(set(s) - {4} for s, _ in got.values()) and set(got[3][0]) == {4}
+
+
+def test_als_implicit_equals_dense_solves_for_any_ids(spark):
+    data = [(f"u{i}", f"i{j:02}", float(1 + (i * j) % 5)) for i in range(9) for j in range(7) if (i + 2 * j) % 3]
+    users, items = factor.als(spark.createDataFrame(data, "u string, i string, r double"), "u", "i", "r", 3, 2, 0.1, 2.0)
+    x, y = ({r["id"]: np.array(r["f"]) for r in f.collect()} for f in (users, items))
+    assert set(x) == {d[0] for d in data} and set(y) == {d[1] for d in data}
+    whole = np.array(list(x.values()))
+    for j in y:
+        own = [(x[u], 2.0 * r + 1) for u, i, r in data if i == j]
+        left = whole.T @ whole + sum((c - 1) * np.outer(v, v) for v, c in own) + 0.1 * np.eye(3)
+        assert np.allclose(y[j], np.linalg.solve(left, sum(c * v for v, c in own)))
+
+
+def test_pruned_top_k_equals_all_pairs_and_multiplies_few(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    y = r.standard_normal((4000, 4)) + 2.0
+    y[7] = y[3000] = y[3999]
+    x = r.standard_normal((300, 4))
+    x[5] = 0
+    q, i = (spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(m)], "id long, v array<double>") for m in (x, y))
+    assert rows(knn.pruned_top_k(q, i, "id", "id", "v", 6)) == rows(knn.blocked_top_k(q, i, "id", "id", "v", 6, "inner-product"))
+    few = i.where("id < 3")
+    assert rows(knn.pruned_top_k(q, few, "id", "id", "v", 6)) == rows(knn.blocked_top_k(q, few, "id", "id", "v", 6, "inner-product"))
+    monkeypatch.setattr(knn, "LEAF", 8)
+    monkeypatch.setattr(knn, "SMALL", 100)
+    monkeypatch.setattr(knn, "LONGEST", 64)
+    got = {}
+    for a, b, s in knn.best_products(x, y, 6):
+        for n, j, z in zip(a.tolist(), b.tolist(), s.tolist(), strict=True):
+            got.setdefault(n, []).append((j, z))
+    all_ = np.round(x @ y.T, 9)
+    assert all([j for j, _ in got[n]] == np.lexsort((np.arange(len(y)), -all_[n]))[:6].tolist() for n in range(len(x)))
