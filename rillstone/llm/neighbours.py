@@ -10,11 +10,14 @@ a byte; neither vectors of the collection nor products with them are needed.
 A code keeps the parts of its error along and across its vector, which bound
 the cosine from both sides; only codes that may reach the floor and the k-th
 best are candidates, and only for these the exact vectors are fetched. Within
-the probed cells the result is therefore exact.
+the probed cells the result is therefore exact. With a floor a pair counts for
+both of its vectors, whichever of them probed the other's cell.
 
 Fitted on a bounded sample (``FIT_ROWS``); the probes are chosen by the exact
-neighbours, among all vectors, of at most ``PROBE_QUERIES`` of them. Every
-vector is indexed and every vector queries. Cells grow with the root of the
+neighbours, among all vectors, of at most ``PROBE_QUERIES`` of them, and with a
+floor by drawn neighbours at the floor itself, the hardest, of the whole sample.
+Every vector is indexed and every vector queries, its half-precision form looked
+up in a mapped file, so that a probe brings an id only. Cells grow with the root of the
 number of vectors and are cut into blocks on both sides, so a crowded cell is
 spread over tasks; of exact copies only the k + 1 smallest ids are indexed,
 which is all that any top k can need.
@@ -31,13 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rillstone.operators import mapped
 from rillstone.operators.balance import fragment_replicate_join
-from rillstone.session import materialize, small
+from rillstone.session import materialize, small, sweep
 
 #: Vectors that the quantisers are fitted on, at most, and of these for each coarse cell at least.
 FIT_ROWS, CELL_ROWS = 32_768, 16
 #: Vectors whose exact neighbours among all vectors the probes are chosen by, at most; pairs that decide, at least.
 PROBE_QUERIES, PROBE_PAIRS = 1_000, 40
+#: Share of the pairs drawn at the floor that one of the two must find.
+DRAWN_FOUND = 0.999
 #: Vectors in a block of a cell, and queries in a block against it.
 DB_BLOCK, QUERY_BLOCK = 4_096, 16_384
 #: Dimensions of a subspace; 16 centres each, so four bits.
@@ -177,7 +183,7 @@ def tables(q: Quantiser, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     entries), off by no more than ``slack`` steps; 16-bit sums never overflow.
     """
     n = q.books.shape[0]
-    t = np.einsum("scd,qsd->scq", q.books, y.reshape(len(y), n, SUB), optimize=True)
+    t = q.books @ np.ascontiguousarray(y.T).reshape(n, SUB, len(y))
     low = t.min(1)
     levels = 65_000 // n
     step = np.maximum((t.max(1) - low).max(0) / levels, 1e-12)
@@ -190,19 +196,20 @@ def tables(q: Quantiser, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def scan_codes(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Sums of the table entries of packed codes: (code, query)."""
-    total = table[0][codes[:, 0]]
+    at = np.ascontiguousarray(codes.T).astype(np.intp)
+    total = table[0][at[0]]
     part = np.empty_like(total)
     for b in range(1, len(table)):
-        np.take(table[b], codes[:, b], axis=0, out=part)
+        np.take(table[b], at[b], axis=0, out=part, mode="clip")  # a byte is never out of range, and this mode needs no buffer
         total += part
     return total
 
 
-def _nearest(y: np.ndarray, y_id: np.ndarray, q: Quantiser, k: int):
-    """The k nearest to a few queries among a task's vectors: ``query, near, cos, cell``."""
+def _nearest(y: np.ndarray, y_id: np.ndarray, k: int):
+    """The k nearest to a few queries among a task's vectors: ``query, near, cos, vec``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64))
+        kept = (*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)), np.zeros((0, y.shape[1]), np.float32))
         least = np.full(len(y), -2.0)
         for b in batches:
             for i in range(0, b.num_rows, 4096):
@@ -215,11 +222,7 @@ def _nearest(y: np.ndarray, y_id: np.ndarray, q: Quantiser, k: int):
                     n = min(k, s.shape[1])
                     hit &= s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
                 row, col = np.nonzero(hit)
-                own = np.zeros(0, np.int64)
-                if len(row):
-                    near, back = np.unique(col, return_inverse=True)
-                    own = q.assign(x[near].astype(np.float32), 1)[:, 0][back]
-                both = [np.concatenate(c) for c in zip(kept, (row, ids[col], s[row, col], own), strict=True)]
+                both = [np.concatenate(c) for c in zip(kept, (row, ids[col], s[row, col], x[col].astype(np.float32)), strict=True)]
                 order = np.lexsort((both[1], -both[2], both[0]))
                 row = both[0][order]
                 rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -228,31 +231,56 @@ def _nearest(y: np.ndarray, y_id: np.ndarray, q: Quantiser, k: int):
                 full, n = np.unique(kept[0], return_counts=True)
                 ends = np.cumsum(n) - 1
                 least[full[n == k]] = kept[2][ends[n == k]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query", "near", "cos", "cell"])
+        yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in kept[:3]], _binary(kept[3])], names=["query", "near", "cos", "vec"])
 
     return run
 
 
-def choose_probes(q: Quantiser, index: DataFrame, asks: pa.Table, k: int, floor: float, target: float) -> int:
-    """Cells to probe so that ``target`` of the asking vectors' true neighbours lie in a probed cell.
+def cell_ranks(q: Quantiser, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of unit vectors (float32): the place of y's own cell among the cells that x probes, and of x's among y's."""
+    out = []
+    for i in range(0, len(x), 4096):
+        a, b = x[i : i + 4096] @ q.cells.T, y[i : i + 4096] @ q.cells.T
+        at = np.arange(len(a))
+        out.append([(s > s[at, other.argmax(1)][:, None]).sum(1) for s, other in ((a, b), (b, a))])
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
 
-    Their k nearest among all vectors are found by brute force. The pairs from
-    ``floor`` decide, or the ``PROBE_PAIRS`` closest if those are fewer.
+
+def drawn_at(x: np.ndarray, cos: float, seed: int = 7) -> np.ndarray:
+    """For each unit vector another in a random direction, with this cosine to it."""
+    e = np.random.default_rng(seed).standard_normal(x.shape)
+    e = _unit_rows(e - (e * x).sum(1, keepdims=True) * x)
+    return (cos * x + np.sqrt(max(0.0, 1 - cos * cos)) * e).astype(np.float32)
+
+
+def choose_probes(q: Quantiser, index: DataFrame, sample: pa.Table, k: int, floor: float) -> int:
+    """Cells to probe so that true neighbours lie in a probed cell.
+
+    Without a floor: 96 % of the ``k`` nearest of ``PROBE_QUERIES`` vectors of the
+    sample among all vectors, found by brute force (of at least ``PROBE_PAIRS``).
+    With a floor: all of these pairs from the floor, and ``DRAWN_FOUND`` of as
+    many pairs drawn at the floor as the sample has vectors, each from either side.
     """
+    asks = sample.slice(0, PROBE_QUERIES)
     y, y_id = _padded(_unit(_matrix(asks.column("vec"), np.float32))), asks.column("id").to_numpy()
-    shared = index.sparkSession.sparkContext.broadcast((y, y_id, q, k))
+    shared = index.sparkSession.sparkContext.broadcast((y, y_id, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _nearest(*shared.value)(batches)
 
-    found = index.select("id", "vec").mapInArrow(run, "query long, near long, cos double, cell long")
+    found = index.select("id", "vec").mapInArrow(run, "query long, near long, cos double, vec binary")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "near"))
-    got = found.withColumn("r", best).where(F.col("r") <= k).select("query", "cos", "cell").toArrow()  # PROBE_QUERIES x k rows at most
-    row, cos, own = (got.column(c).to_numpy() for c in ("query", "cos", "cell"))
+    got = found.withColumn("r", best).where(F.col("r") <= k).select("query", "cos", "vec").toArrow()  # PROBE_QUERIES x k rows at most
+    if not got.num_rows:
+        return 1
+    row, cos, near = got.column("query").to_numpy(), got.column("cos").to_numpy(), _matrix(got.column("vec"), np.float32)
     pick = np.argsort(-cos, kind="stable")[: max(int((cos >= floor).sum()), PROBE_PAIRS)]
-    score = y.astype(np.float32) @ q.cells.T
-    ranks = (score[row[pick]] > score[row[pick], own[pick]][:, None]).sum(1)
-    return int(np.quantile(ranks, target, method="higher")) + 1 if len(ranks) else 1
+    there, back = cell_ranks(q, y[row[pick]].astype(np.float32), near[pick])
+    if floor <= -1:
+        return int(np.quantile(there, 0.96, method="higher")) + 1
+    x = _padded(_unit(_matrix(sample.column("vec"), np.float32))).astype(np.float32)
+    hard = np.minimum(*cell_ranks(q, x, drawn_at(x, floor)))
+    return int(max(np.minimum(there, back).max(), np.quantile(hard, DRAWN_FOUND, method="higher"))) + 1
 
 
 def _usable(id_name: str, vec_name: str, dim: int):
@@ -316,7 +344,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 
 def _deal(q: Quantiser, probes: int):
-    """Probed cells (the first is its own), code, the code's error along and across the vector, and half-precision unit vector of each vector."""
+    """Probed cells (the first is its own), code, and the code's error along and across the vector of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,11 +358,20 @@ def _deal(q: Quantiser, probes: int):
                 along = (error * exact).sum(1)
                 across = np.linalg.norm(error - along[:, None] * exact, axis=1)
                 flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * cells.shape[1]).astype(np.int32)), pa.array(cells.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, _binary(pack(codes)), pa.array(along.astype(np.float32)), pa.array(across.astype(np.float32)), _binary(x.astype(np.float16))], names=["id", "vec", "cells", "codes", "along", "across", "half"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, _binary(pack(codes)), pa.array(along.astype(np.float32)), pa.array(across.astype(np.float32))], names=["id", "vec", "cells", "codes", "along", "across"])
 
     return run
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Half-precision unit vectors, two numbers in an integer."""
+    for b in batches:
+        if b.num_rows:
+            x = _padded(_unit(_matrix(b.column(1), np.float32))).astype(np.float16).view(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["id", "half"])
+
+
 def _lists(row: np.ndarray, value: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
     """Values, sorted by row, as one list for each of ``n`` rows."""
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=n))].astype(np.int32)), pa.array(value, kind))
@@ -356,12 +393,13 @@ def cosine_bounds(score: np.ndarray, along: np.ndarray, across: np.ndarray) -> t
     return mid - reach, mid + reach
 
 
-def _scan(q: Quantiser, k: int, floor: float):
-    """Scan the codes of one block of a cell for one block of queries.
+def _scan(q: Quantiser, halves: mapped.Flat, k: int, floor: float):
+    """Scan the codes of one block of a cell for one block of queries, whose vectors are in ``halves``, sorted by id.
 
     A row for each query that has candidates here: ``near`` with the most each
-    can score, or null and 1 if all of the block are to be scored; ``sure`` is
-    what its k best here score at least.
+    can score, or null and 1 if all of the block are to be scored. Without a floor
+    ``sure`` is what its k best here score at least; with one a pair below a
+    query's k best may be among the other vector's, so none is left out.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -377,33 +415,40 @@ def _scan(q: Quantiser, k: int, floor: float):
         # what a code scores at least with a query whose cosine is the floor or more
         needs = floor * (1 - along) - np.sqrt(max(0.0, 1 - floor**2)) * across if floor > -1 else np.full(len(db_id), -9.0)
         needs = needs.astype(np.float32)
-        y = _matrix(ask.column("data"), np.float16).astype(np.float32)
+        held = halves.open()
+        y = np.ascontiguousarray(held["half"][np.searchsorted(held["id"], ask_id)]).view(np.float16).astype(np.float32)
+        del held
         centre = q.cells[cell]
         place = np.minimum(np.searchsorted(db_id, ask_id), len(db_id) - 1)
         got = []
         for i in range(0, len(y), SCAN_QUERIES):
             part, at = y[i : i + SCAN_QUERIES], place[i : i + SCAN_QUERIES]
             table, base, step, slack = tables(q, part)
-            score = (scan_codes(table, codes) * step.astype(np.float32)).T + (base + part @ centre).astype(np.float32)[:, None]
+            off = (slack * step + HALF).astype(np.float32)
+            high = scan_codes(table, codes).astype(np.float32)  # the most a code can score with a query: (code, query)
+            high *= step.astype(np.float32)
+            high += (base + part @ centre).astype(np.float32) + off
+            hit = high >= needs[:, None]
             own = np.flatnonzero(db_id[at] == ask_id[i : i + SCAN_QUERIES])
-            off = (slack * step + HALF).astype(np.float32)[:, None]
-            hit = score + off >= needs
-            hit[own, at[own]] = False
-            wide = np.arange(len(part)) if floor <= -1 else np.flatnonzero(hit.sum(1) > NAMED)
+            hit[at[own], own] = False
+            if not hit.any():
+                continue
             sure = np.full((len(part), k), np.float32(-9))
-            if len(wide):
-                low = cosine_bounds(score[wide] - off[wide], along, across)[0]
-                low[~hit[wide]] = -9
+            if floor <= -1:
+                low = cosine_bounds((high - 2 * off).T, along, across)[0]
+                low[~hit.T] = -9
                 n = min(k, low.shape[1])
-                sure[wide, :n] = -np.partition(-low, n - 1, axis=1)[:, :n]
+                sure[:, :n] = -np.partition(-low, n - 1, axis=1)[:, :n]
                 if n == k:
-                    hit[wide] &= cosine_bounds(score[wide] + off[wide], along, across)[1] >= sure[wide].min(1)[:, None]
-            count = hit.sum(1)
+                    hit &= (cosine_bounds(high.T, along, across)[1] >= sure.min(1)[:, None]).T
+            count = hit.sum(0)
             all_ = count > NAMED
-            row, col = np.nonzero(hit & ~all_[:, None])
+            col, row = np.nonzero(hit & ~all_)
+            order = np.argsort(row, kind="stable")
+            row, col = row[order], col[order]
             asks = np.flatnonzero(count)
             line = np.searchsorted(asks, row)
-            most = cosine_bounds(score[row, col] + off[row, 0], along[col], across[col])[1]
+            most = cosine_bounds(high[col, row], along[col], across[col])[1]
             near = _lists(line, db_id[col], len(asks), pa.int64())
             line, value = np.r_[line, np.searchsorted(asks, np.flatnonzero(all_))], np.r_[most, np.ones(all_.sum())]
             order = np.argsort(line, kind="stable")
@@ -411,13 +456,13 @@ def _scan(q: Quantiser, k: int, floor: float):
             near = pa.ListArray.from_arrays(near.offsets, near.values, mask=pa.array(all_[asks]))
             own_row, own_col = np.nonzero(sure[asks] > -3)
             got.append(pa.table([pa.array(ask_id[i + asks]), pa.array(np.full(len(asks), cell, np.int32)), pa.array(np.full(len(asks), d)), near, high, _lists(own_row, sure[asks][own_row, own_col], len(asks), pa.float32())], schema=_CANDIDATES))
-        return pa.concat_tables(got)
+        return pa.concat_tables([_CANDIDATES.empty_table(), *got])
 
     return run
 
 
 def _rerank(k: int, floor: float):
-    """Exact scores of the candidates of one block: the k best of each query."""
+    """Exact scores of the candidates of one block: the k best of each query, and with a floor those of each vector of the block among the queries."""
     schema = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cos", pa.float64())])
 
     def run(rows: pa.Table) -> pa.Table:
@@ -440,16 +485,22 @@ def _rerank(k: int, floor: float):
             s = y[every[j : j + 512]] @ x.T
             s[ask_id[every[j : j + 512], None] == db_id[None, :]] = -9
             n = min(k, s.shape[1])
-            least = np.maximum(-np.partition(-s, n - 1, axis=1)[:, n - 1], max(floor, -2.0)) - 1e-12
-            r, c = np.nonzero(s >= least[:, None])
+            good = s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n] - 1e-12
+            if floor > -1:
+                n = min(k, s.shape[0])
+                good |= s >= -np.partition(-s, n - 1, axis=0)[n - 1 : n] - 1e-12
+            r, c = np.nonzero(good & (s >= max(floor, -2.0) - 1e-12))
             got.append((every[j + r], c, s[r, c]))
         row, col, cos = (np.concatenate(c) for c in zip(*got, strict=True))
         ok = cos >= max(floor, -2.0)
-        row, col, cos = row[ok], col[ok], cos[ok]
-        order = np.lexsort((db_id[col], -cos, row))
-        row, col, cos = row[order], col[order], cos[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pa.table([ask_id[row[keep]], db_id[col[keep]], cos[keep]], schema=schema)
+        own, near, cos = ask_id[row[ok]], db_id[col[ok]], cos[ok]
+        out = []
+        for a, b in ((own, near), (near, own)) if floor > -1 else ((own, near),):
+            order = np.lexsort((b, -cos, a))
+            a, b, c = a[order], b[order], cos[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            out.append((a[keep], b[keep], c[keep]))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
 
     return run
 
@@ -459,9 +510,9 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
 
     Neighbours below ``floor`` are left out, an id is not its own neighbour,
     equal cosines go to the smaller id. Approximate: a neighbour in none of the
-    ``probes`` nearest cells is missed (by default as many as reach 96 % of the
-    true neighbours of a sample of queries among all vectors, 99 % with a
-    floor); ``recall`` measures how many are. No usable vectors give no rows.
+    ``probes`` nearest cells is missed, with a floor only if neither of the two
+    probes the other's cell (for the number by default see ``choose_probes``);
+    ``recall`` measures how many are. No usable vectors give no rows.
     """
     spark = df.sparkSession
     all_rows = materialize(usable_vectors(df, id, vector, dim, newest).withColumn("h", F.struct(F.xxhash64("vec").alias("a"), F.hash("vec").alias("b"))), "vectors")
@@ -474,9 +525,11 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     some = index.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 2 * FIT_ROWS / n)))
     sample = some.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id", "vec").toArrow()
     q = fit(_padded(_unit(_matrix(sample.column("vec"), np.float32))).astype(np.float32), cells or max(1, round(n**0.5)))
-    probes = probes or choose_probes(q, index, sample.slice(0, PROBE_QUERIES), k, floor, 0.99 if floor > -1 else 0.96)
+    probes = probes or choose_probes(q, index, sample, k, floor)
     shared = spark.sparkContext.broadcast(q)  # about sqrt(n) x dim numbers
-    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary, along float, across float, half binary"), "vectors-dealt")
+    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary, along float, across float"), "vectors-dealt")
+    halves = mapped.write_flat(index.select("id", "vec").mapInArrow(_halves, "id long, half array<int>"), ["id"], {"id": ("int64", 0), "half": ("int32", q.cells.shape[1] // 2)}, "vectors-half")
+    sweep(spark)
     own = F.get("cells", F.lit(0))
     sizes = dealt.select(own.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_db"))
     asks = dealt.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_ask"))
@@ -487,10 +540,11 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     none = [F.lit(None).cast("float").alias(c) for c in ("along", "across")]
     db = dealt.withColumn("cell", own).join(few, "cell")
     db = db.select("cell", block.alias("d"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", F.col("codes").alias("data"), "along", "across")
-    ask = dealt.select(F.explode("cells").alias("cell"), "id", "half").join(few, "cell")
-    ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", F.col("half").alias("data"), *none)
-    found = materialize(db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, k, floor), _CANDIDATES_SQL), "vectors-candidates")
-    # what a query's k best score at least, over all its blocks: candidates that can't reach it are dropped
+    ask = dealt.select(F.explode("cells").alias("cell"), "id").join(few, "cell")
+    ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", F.lit(None).cast("binary").alias("data"), *none)
+    found = materialize(db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, halves, k, floor), _CANDIDATES_SQL), "vectors-candidates")
+    sweep(spark)
+    # what a query's k best score at least, over all its blocks: candidates that can't reach it are dropped (none with a floor)
     sure = found.select("id", F.explode("sure").alias("s"))
     kth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s")))
     bound = sure.withColumn("r", kth).where(F.col("r") == k).select("id", F.col("s").alias("bound"))
@@ -506,6 +560,8 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     asked = wanted.join(parts, ["cell", "d"]).select("cell", "d", F.pmod(turn, F.col("parts").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", "data", "near")
     scored = fetched.unionByName(asked).groupBy("cell", "d", "u").applyInArrow(_rerank(k, floor), "id long, near long, cos double")
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "near"))
+    if floor > -1:  # a pair may come from either side
+        scored = scored.repartition("id").groupBy("id", "near").agg(F.max("cos").alias("cos"))
     near = scored.withColumn("r", best).where(F.col("r") <= k).drop("r")
     # further exact copies: their k nearest are the k smallest ids among the copies
     rest = all_rows.select("id", F.xxhash64("vec").alias("h"), F.hash("vec").alias("h2")).join(index.select("id"), "id", "left_anti")
@@ -523,9 +579,9 @@ def _on(shared, make, probes: int):
     return run
 
 
-def _on_group(shared, k: int, floor: float):
+def _on_group(shared, halves: mapped.Flat, k: int, floor: float):
     def run(rows: pa.Table) -> pa.Table:
-        return _scan(shared.value, k, floor)(rows)
+        return _scan(shared.value, halves, k, floor)(rows)
 
     return run
 

@@ -99,3 +99,27 @@ def test_odd_dimensions(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "u int, v array<float>")
     row = recall(neighbours(df, "u", "v", 7, 5), exact_neighbours(df, "u", "v", 7, 5)).first()
     assert row["n_exact"] == 3000 and row["recall"] >= 0.9
+
+
+def near_floor(n=4000, dim=48, group=10):
+    """Groups larger than k of vectors whose cosines lie about 0.92."""
+    r = np.random.default_rng(11)
+    x = np.repeat(nb._unit(r.standard_normal((n // group, dim))), group, 0)
+    return x + 0.29 * nb._unit(r.standard_normal(x.shape))
+
+
+def test_with_a_floor_a_pair_counts_from_either_side(spark):
+    """Whoever probes the other's cell, both vectors get the pair."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near_floor())], "u int, v array<float>")
+    got = {(a, b): c for a, b, c in rows(neighbours(df, "u", "v", 48, 5, 0.9, probes=2, cells=60), "id", "near", "cos")}
+    lists = {}
+    for (a, _), c in got.items():
+        lists.setdefault(a, []).append(c)
+    assert len(got) > 10_000 and max(map(len, lists.values())) == 5
+    assert all((b, a) in got or len(lists.get(b, [])) == 5 and min(lists[b]) >= c - 1e-12 for (a, b), c in got.items())
+
+
+def test_neighbours_from_a_floor_are_all_found(spark):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near_floor())], "u int, v array<float>")
+    row = recall(neighbours(df, "u", "v", 48, 5, 0.9), exact_neighbours(df, "u", "v", 48, 5, 0.9)).first()
+    assert row["n_exact"] > 10_000 and row["recall"] == 1
