@@ -16,8 +16,8 @@ both of its vectors, whichever of them probed the other's cell.
 Fitted on a bounded sample (``FIT_ROWS``); the probes are chosen by the exact
 neighbours, among all vectors, of at most ``PROBE_QUERIES`` of them, and with a
 floor by drawn neighbours at the floor itself, the hardest, of the whole sample.
-Every vector is indexed and every vector queries, its half-precision form looked
-up in a mapped file, so that a probe brings an id only. Cells grow with the root of the
+Every vector is indexed and every vector queries. Tasks look vectors up in a
+mapped file, so that ids and codes are all that is shuffled. Cells grow with the root of the
 number of vectors and are cut into blocks on both sides, so a crowded cell is
 spread over tasks; of exact copies only the k + 1 smallest ids are indexed,
 which is all that any top k can need.
@@ -53,7 +53,7 @@ CENTRES = 16
 NAMED = 128
 #: Queries scanned at once, and exact scores of single pairs computed at once.
 SCAN_QUERIES, PAIRS = 128, 131_072
-#: Rounding of a unit query to half precision, and of single-precision sums: no score is off by more.
+#: Rounding of a unit query to half precision (or better), and of single-precision sums: no score is off by more.
 HALF = 6e-4
 
 
@@ -358,18 +358,24 @@ def _deal(q: Quantiser, probes: int):
                 along = (error * exact).sum(1)
                 across = np.linalg.norm(error - along[:, None] * exact, axis=1)
                 flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * cells.shape[1]).astype(np.int32)), pa.array(cells.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, _binary(pack(codes)), pa.array(along.astype(np.float32)), pa.array(across.astype(np.float32))], names=["id", "vec", "cells", "codes", "along", "across"])
+                yield pa.RecordBatch.from_arrays([part.column(0), flat, _binary(pack(codes)), pa.array(along.astype(np.float32)), pa.array(across.astype(np.float32))], names=["id", "cells", "codes", "along", "across"])
 
     return run
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Half-precision unit vectors, two numbers in an integer."""
+def _floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as lists of numbers."""
     for b in batches:
         if b.num_rows:
-            x = _padded(_unit(_matrix(b.column(1), np.float32))).astype(np.float16).view(np.int32)
+            x = _matrix(b.column(1), np.float32)
             flat = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["id", "half"])
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["id", "vec"])
+
+
+def _looked_up(vectors: mapped.Flat, ids: np.ndarray) -> np.ndarray:
+    """The unit vectors of ids."""
+    held = vectors.open()
+    return _padded(_unit(np.asarray(held["vec"][np.searchsorted(held["id"], ids)])))
 
 
 def _lists(row: np.ndarray, value: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -393,8 +399,8 @@ def cosine_bounds(score: np.ndarray, along: np.ndarray, across: np.ndarray) -> t
     return mid - reach, mid + reach
 
 
-def _scan(q: Quantiser, halves: mapped.Flat, k: int, floor: float):
-    """Scan the codes of one block of a cell for one block of queries, whose vectors are in ``halves``, sorted by id.
+def _scan(q: Quantiser, vectors: mapped.Flat, k: int, floor: float):
+    """Scan the codes of one block of a cell for one block of queries, looked up in ``vectors``.
 
     A row for each query that has candidates here: ``near`` with the most each
     can score, or null and 1 if all of the block are to be scored. Without a floor
@@ -415,9 +421,7 @@ def _scan(q: Quantiser, halves: mapped.Flat, k: int, floor: float):
         # what a code scores at least with a query whose cosine is the floor or more
         needs = floor * (1 - along) - np.sqrt(max(0.0, 1 - floor**2)) * across if floor > -1 else np.full(len(db_id), -9.0)
         needs = needs.astype(np.float32)
-        held = halves.open()
-        y = np.ascontiguousarray(held["half"][np.searchsorted(held["id"], ask_id)]).view(np.float16).astype(np.float32)
-        del held
+        y = _looked_up(vectors, ask_id).astype(np.float32)
         centre = q.cells[cell]
         place = np.minimum(np.searchsorted(db_id, ask_id), len(db_id) - 1)
         got = []
@@ -461,7 +465,7 @@ def _scan(q: Quantiser, halves: mapped.Flat, k: int, floor: float):
     return run
 
 
-def _rerank(k: int, floor: float):
+def _rerank(vectors: mapped.Flat, k: int, floor: float):
     """Exact scores of the candidates of one block: the k best of each query, and with a floor those of each vector of the block among the queries."""
     schema = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("cos", pa.float64())])
 
@@ -471,9 +475,8 @@ def _rerank(k: int, floor: float):
         if not db.num_rows or not ask.num_rows:
             return schema.empty_table()
         db_id, ask_id = (t.column("id").to_numpy() for t in (db, ask))
-        order = np.argsort(db_id)
-        db_id, x = db_id[order], _unit(_matrix(db.column("data"), np.float32))[order]
-        y = _unit(_matrix(ask.column("data"), np.float32))
+        db_id = np.sort(db_id)
+        x, y = _looked_up(vectors, db_id), _looked_up(vectors, ask_id)
         near = ask.column("near").combine_chunks()
         near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
         n = near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -515,9 +518,11 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     ``recall`` measures how many are. No usable vectors give no rows.
     """
     spark = df.sparkSession
-    all_rows = materialize(usable_vectors(df, id, vector, dim, newest).withColumn("h", F.struct(F.xxhash64("vec").alias("a"), F.hash("vec").alias("b"))), "vectors")
     head = F.row_number().over(Window.partitionBy("h").orderBy("id"))
-    index = materialize(all_rows.withColumn("copy", head).where(F.col("copy") <= k + 1), "vectors-index")
+    all_rows = usable_vectors(df, id, vector, dim, newest).withColumn("h", F.struct(F.xxhash64("vec").alias("a"), F.hash("vec").alias("b")))
+    all_rows = materialize(all_rows.withColumn("copy", head), "vectors")
+    sweep(spark)
+    index = all_rows.where(F.col("copy") <= k + 1)
     n = index.count()
     if not n:
         return spark.createDataFrame([], "id long, near long, cos double")
@@ -527,8 +532,8 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     q = fit(_padded(_unit(_matrix(sample.column("vec"), np.float32))).astype(np.float32), cells or max(1, round(n**0.5)))
     probes = probes or choose_probes(q, index, sample, k, floor)
     shared = spark.sparkContext.broadcast(q)  # about sqrt(n) x dim numbers
-    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, vec binary, cells array<int>, codes binary, along float, across float"), "vectors-dealt")
-    halves = mapped.write_flat(index.select("id", "vec").mapInArrow(_halves, "id long, half array<int>"), ["id"], {"id": ("int64", 0), "half": ("int32", q.cells.shape[1] // 2)}, "vectors-half")
+    dealt = materialize(index.select("id", "vec").mapInArrow(_on(shared, _deal, probes), "id long, cells array<int>, codes binary, along float, across float"), "vectors-dealt")
+    vectors = mapped.write_flat(index.select("id", "vec").mapInArrow(_floats, "id long, vec array<float>"), ["id"], {"id": ("int64", 0), "vec": ("float32", dim)}, "vectors-exact")
     sweep(spark)
     own = F.get("cells", F.lit(0))
     sizes = dealt.select(own.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_db"))
@@ -542,29 +547,28 @@ def neighbours(df: DataFrame, id: str, vector: str, dim: int, k: int, floor: flo
     db = db.select("cell", block.alias("d"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", F.col("codes").alias("data"), "along", "across")
     ask = dealt.select(F.explode("cells").alias("cell"), "id").join(few, "cell")
     ask = ask.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("db_blocks").cast("long") - 1)).alias("d"), F.pmod(turn, F.col("q_blocks").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", F.lit(None).cast("binary").alias("data"), *none)
-    found = materialize(db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, halves, k, floor), _CANDIDATES_SQL), "vectors-candidates")
+    found = materialize(db.unionByName(ask).groupBy("cell", "d", "u").applyInArrow(_on_group(shared, vectors, k, floor), _CANDIDATES_SQL), "vectors-candidates")
     sweep(spark)
     # what a query's k best score at least, over all its blocks: candidates that can't reach it are dropped (none with a floor)
     sure = found.select("id", F.explode("sure").alias("s"))
     kth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s")))
     bound = sure.withColumn("r", kth).where(F.col("r") == k).select("id", F.col("s").alias("bound"))
-    exact = dealt.select("id", F.col("vec").alias("data"))
     wanted = found.drop("sure").join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(-9.0)))
     pairs = F.filter(F.arrays_zip("near", "most"), lambda p: p["most"] >= F.col("bound"))
     wanted = wanted.where(F.array_max("most") >= F.col("bound")).select("id", "cell", "d", F.when(F.col("near").isNotNull(), F.transform(pairs, lambda p: p["near"])).alias("near"))
-    wanted = materialize(wanted.join(exact, "id"), "vectors-wanted")
+    wanted = materialize(wanted, "vectors-wanted")
     parts = wanted.groupBy("cell", "d").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
     lists = F.lit(None).cast("array<bigint>").alias("near")
-    fetched = dealt.withColumn("cell", own).join(few, "cell").select("cell", block.alias("d"), "id", F.col("vec").alias("data")).join(parts, ["cell", "d"])
-    fetched = fetched.select("cell", "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", "data", lists)
-    asked = wanted.join(parts, ["cell", "d"]).select("cell", "d", F.pmod(turn, F.col("parts").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", "data", "near")
-    scored = fetched.unionByName(asked).groupBy("cell", "d", "u").applyInArrow(_rerank(k, floor), "id long, near long, cos double")
+    fetched = dealt.withColumn("cell", own).join(few, "cell").select("cell", block.alias("d"), "id").join(parts, ["cell", "d"])
+    fetched = fetched.select("cell", "d", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("u"), F.lit(1).alias("is_db"), "id", lists)
+    asked = wanted.join(parts, ["cell", "d"]).select("cell", "d", F.pmod(turn, F.col("parts").cast("long")).cast("int").alias("u"), F.lit(0).alias("is_db"), "id", "near")
+    scored = fetched.unionByName(asked).groupBy("cell", "d", "u").applyInArrow(_rerank(vectors, k, floor), "id long, near long, cos double")
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "near"))
     if floor > -1:  # a pair may come from either side
         scored = scored.repartition("id").groupBy("id", "near").agg(F.max("cos").alias("cos"))
     near = scored.withColumn("r", best).where(F.col("r") <= k).drop("r")
     # further exact copies: their k nearest are the k smallest ids among the copies
-    rest = all_rows.select("id", F.xxhash64("vec").alias("h"), F.hash("vec").alias("h2")).join(index.select("id"), "id", "left_anti")
+    rest = all_rows.where(F.col("copy") > k + 1).select("id", F.col("h.a").alias("h"), F.col("h.b").alias("h2"))
     if not rest.isEmpty():
         heads = index.where(F.col("copy") <= k).select(F.col("h.a").alias("h"), F.col("h.b").alias("g"), F.col("id").alias("near"))
         copies = fragment_replicate_join(rest, heads, "h").where("h2 = g").select("id", "near", F.lit(1.0).alias("cos"))
@@ -579,9 +583,9 @@ def _on(shared, make, probes: int):
     return run
 
 
-def _on_group(shared, halves: mapped.Flat, k: int, floor: float):
+def _on_group(shared, vectors: mapped.Flat, k: int, floor: float):
     def run(rows: pa.Table) -> pa.Table:
-        return _scan(shared.value, halves, k, floor)(rows)
+        return _scan(shared.value, vectors, k, floor)(rows)
 
     return run
 
